@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import winnowing
+from . import hostrules, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +16,53 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_likeness(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_winnowing": op1_winnowing}
-ORACLE_SQL: dict[str, str] = {}
+def op2_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return hostrules.with_verdicts(docs).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.round("host_rate", 9).alias("host_rate"),
+    )
+
+
+#: Words, rules and the beta prior again; a list of words for each text, windows by position.
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+pos AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS tri
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+dup AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS c FROM pos) WHERE c > 1),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+base AS (
+  SELECT w.doc_id, source, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad, count(*) FILTER (base_failed) / count(*) AS rate
+  FROM f GROUP BY source),
+prior AS (
+  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS s
+  FROM (SELECT avg(rate) AS m, var_pop(rate) AS v FROM hosts))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (bad + m * s) / (n + s) < 0.9 AS kept, round((bad + m * s) / (n + s), 9) AS host_rate
+FROM f JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source CROSS JOIN prior
+"""
+
+
+QUERIES = {"op1_winnowing": op1_winnowing, "op2_hostrules": op2_hostrules}
+ORACLE_SQL: dict[str, str] = {"op2_hostrules": OP2_SQL}
