@@ -26,69 +26,69 @@ BROADCAST_HOSTS = 200_000
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def repeated_words(words: Column) -> Column:
-    """Number of words inside 3-word windows whose words stand twice or more in the text.
+def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
+    """Add the number of words inside 3-word windows whose words stand twice or more in the text.
 
     Window hashes are packed with their positions and sorted, so that equal ones are neighbours; the
     positions found are sorted in turn, and each window adds the words that the one before left.
-    A position takes as many low bits as the text needs, the hash has the rest of 63.
+    A position takes as many low bits as the text needs, the hash has the rest of 62.
     """
-
-    def covered(at: Column) -> Column:
-        return F.aggregate(
-            at,
-            F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
-            lambda acc, i: F.struct(
-                (acc["n"] + i + 3 - F.greatest(acc["to"], i)).alias("n"), (i + 3).alias("to")
-            ),
-            lambda acc: acc["n"],
-        )
-
-    def marked(w: Column, bits: Column) -> Column:
-        step = F.pow(F.lit(2.0), bits).cast("long")
-        room = F.pow(F.lit(2.0), F.lit(62) - bits).cast("long")
-        return let(
-            F.struct(step.alias("step"), room.alias("room")),
-            lambda s: let(
-                F.sort_array(
-                    F.transform(
+    step, packed, found = fresh(df, f"{out}_step", f"{out}_packed", f"{out}_found")
+    none = F.array().cast("array<long>")
+    number = F.lit(0).cast("long")
+    told = df.withColumn(step, F.pow(F.lit(2.0), F.ceil(F.log2(F.size(words) + F.lit(1.0)))).cast("long"))
+    # A window's hash comes from its three words in one call; low bits make room for the position.
+    told = told.withColumn(
+        packed,
+        F.when(
+            F.size(words) > 3,
+            F.sort_array(
+                let(
+                    F.col(words),
+                    lambda w: F.transform(
                         F.sequence(F.lit(0), F.size(w) - 3),
-                        lambda i: F.pmod(F.xxhash64(w[i], w[i + 1], w[i + 2]), s["room"]) * s["step"] + i,
-                    )
-                ),
-                lambda v: let(
-                    F.zip_with(
-                        F.slice(v, 1, F.size(v) - 1),
-                        F.slice(v, 2, F.size(v) - 1),
-                        lambda a, b: F.when(
-                            (a - a % s["step"]) == (b - b % s["step"]),
-                            F.struct((a % s["step"]).alias("a"), (b % s["step"]).alias("b")),
-                        ),
-                    ),
-                    lambda pairs: let(
-                        F.filter(pairs, lambda p: p.isNotNull()),
-                        lambda twins: F.when(F.size(twins) == 0, F.lit(0).cast("long")).otherwise(
-                            covered(
-                                F.sort_array(
-                                    F.array_distinct(
-                                        F.concat(
-                                            F.transform(twins, lambda p: p["a"]), F.transform(twins, lambda p: p["b"])
-                                        )
-                                    )
-                                )
-                            )
+                        lambda i: F.coalesce(
+                            F.shiftrightunsigned(
+                                F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), 2
+                            ).bitwiseAND(-F.col(step)).bitwiseOR(i),
+                            number,
                         ),
                     ),
-                ),
+                )
             ),
-        )
-
-    return let(
-        words,
-        lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(
-            let(F.ceil(F.log2(F.size(w) + F.lit(1.0))).cast("int"), lambda bits: marked(w, bits))
+        ).otherwise(none),
+    )
+    twins = F.filter(
+        F.zip_with(
+            packed,
+            F.slice(packed, 2, F.greatest(F.size(packed), F.lit(1))),
+            lambda a, b: F.when(a.bitwiseXOR(b) < F.col(step), F.struct(a.alias("a"), b.alias("b"))),
         ),
+        lambda p: p.isNotNull(),
+    )
+    told = told.withColumn(found, F.when(F.size(packed) > 1, twins))
+    low = F.col(step) - 1
+    told = told.withColumn(
+        found,
+        F.when(
+            F.size(found) > 0,
+            F.sort_array(
+                F.array_distinct(
+                    F.concat(
+                        F.transform(found, lambda p: p["a"].bitwiseAND(low)),
+                        F.transform(found, lambda p: p["b"].bitwiseAND(low)),
+                    )
+                )
+            ),
+        ).otherwise(none),
+    )
+    covered = F.aggregate(
+        found,
+        F.struct(number.alias("n"), number.alias("to")),
+        lambda acc, i: F.struct((acc["n"] + i + 3 - F.greatest(acc["to"], i)).alias("n"), (i + 3).alias("to")),
+        lambda acc: acc["n"],
     )
+    return told.withColumn(out, covered).drop(step, packed, found)
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -107,9 +107,9 @@ def with_rules(docs: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": F.coalesce(F.regexp_count(F.col(text), F.lit(SYMBOLS)), F.lit(0)).cast("long"),
             "n_dup_lines": duplicate_lines(F.col(text)),
-            "n_repeat_words": repeated_words(F.col(words)),
         }
-    ).drop(words)
+    )
+    told = with_repeated_words(told, words, "n_repeat_words").drop(words)
     return told.withColumn(
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50),
@@ -136,22 +136,32 @@ def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
     return hosts.withColumn("shrunk", (F.col("failures") + F.lit(m * s)) / (F.col("n") + F.lit(s)))
 
 
-def with_verdicts(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """Add the rule columns of `with_rules`, host_rate (shrunk) and kept; no row is dropped."""
-    key, rate = fresh(docs, "host_key", "host_rate")
-    told = with_rules(docs, text)
-    rates = host_rates(told.select(F.col(host).alias(key), "base_failed"), key, "base_failed")
+def _with_hosts(told: DataFrame, judged: DataFrame, host: str) -> DataFrame:
+    """Add host_rate and kept to `told`, from the failures in `judged`, which has the same hosts."""
+    key, rate = fresh(told, "host_key", "host_rate")
+    rates = host_rates(judged.select(F.col(host).alias(key), "base_failed"), key, "base_failed")
     rates = rates.select(key, F.col("shrunk").alias(rate))
     if rates.count() <= BROADCAST_HOSTS:
         rates = F.broadcast(rates)
-    joined = told.join(rates, F.col(host).eqNullSafe(rates[key])).drop(key)
+    joined = told.join(rates, told[host].eqNullSafe(rates[key])).drop(key)
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col(rate) < REJECT_FROM))
 
 
+def verdicts(docs: DataFrame, keep: list[str], text: str = "text", host: str = "source") -> DataFrame:
+    """The columns `keep` of each row with its rule columns, host_rate (shrunk) and kept.
+
+    Texts are read once: their counts are written down, and hosts are judged from those.
+    """
+    told = checkpointed(with_rules(docs.select(*dict.fromkeys([*keep, host, text])), text).drop(text))
+    return _with_hosts(told, told, host)
+
+
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows that the rules and their host's verdict keep, with the columns of `docs`."""
-    names = docs.columns
-    added = fresh(docs, "text_to_judge", "host_to_judge")
-    plain = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text].alias(added[0]), docs[host].alias(added[1]))
-    kept = with_verdicts(plain, added[0], added[1]).where("kept")
-    return kept.select("row.*")
+    """The rows that the rules and their host's verdict keep, with the columns of `docs`.
+
+    Texts are read twice, once for the hosts' failures and once for the rows, and never shuffled.
+    """
+    body, place = fresh(docs, "text_to_judge", "host_to_judge")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    told = with_rules(docs.select(row, docs[text].alias(body), docs[host].alias(place)), body)
+    return _with_hosts(told, told, place).where("kept").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, winnowing
+from . import hostrules, mixing, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,7 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return hostrules.with_verdicts(docs).select(
+    return hostrules.verdicts(_table(spark, sf_dir, "documents"), ["doc_id"]).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -64,5 +63,47 @@ FROM f JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source CROSS JOIN prior
 """
 
 
-QUERIES = {"op1_winnowing": op1_winnowing, "op2_hostrules": op2_hostrules}
-ORACLE_SQL: dict[str, str] = {"op2_hostrules": OP2_SQL}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.with_copies(docs).select(
+        "doc_id",
+        "size",
+        "source_size",
+        F.round("target", 6).alias("target"),
+        (F.col("n_copies") * F.col("size")).alias("taken"),
+        "n_copies",
+    )
+
+
+#: The level of the shares from the sources in order of cap over weight; places by bucket, size and id.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS key,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         ((doc_id % 65537) * 40503 + doc_id % 65521)
+           % greatest(256, CAST(2 ** ceil(log2(ceil((SELECT count(*) FROM documents) / 20000))) AS BIGINT)) AS bucket
+  FROM documents),
+s AS (
+  SELECT key, sum(size) AS source_size,
+         CAST([5, 2, 1][1 + ((row_number() OVER (ORDER BY encode(key)) - 1) % 3)] AS DOUBLE) AS weight
+  FROM d GROUP BY key),
+c AS (
+  SELECT *, 2.0 * source_size AS cap, 1.5 * sum(source_size) OVER () AS share,
+         coalesce(sum(2.0 * source_size) OVER r, 0) AS below, sum(weight) OVER () - coalesce(sum(weight) OVER r, 0) AS free
+  FROM s WINDOW r AS (ORDER BY 2.0 * source_size / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min((share - below) / free, cap / weight) FILTER ((share - below) / free <= cap / weight) AS level FROM c),
+t AS (SELECT key, source_size, least(cap, level * weight) AS target FROM c CROSS JOIN l),
+p AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies,
+         row_number() OVER (PARTITION BY d.key ORDER BY bucket, size, doc_id) AS place,
+         CAST('0x' || substr(md5('mix-1|' || d.key), 1, 8) AS BIGINT) / 4294967296.0 AS start
+  FROM d JOIN t USING (key))
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target,
+       CAST(floor(place * copies + start) - floor((place - 1) * copies + start) AS BIGINT) AS n_copies,
+       CAST(floor(place * copies + start) - floor((place - 1) * copies + start) AS BIGINT) * size AS taken
+FROM p
+"""
+
+
+QUERIES = {"op1_winnowing": op1_winnowing, "op2_hostrules": op2_hostrules, "op5_mixing": op5_mixing}
+ORACLE_SQL: dict[str, str] = {"op2_hostrules": OP2_SQL, "op5_mixing": OP5_SQL}
