@@ -49,7 +49,7 @@ def source_key(source: Column) -> Column:
 
 def bucket_of(key: Column, buckets: int) -> Column:
     """A bucket of an id, spread by a multiplication; null ids share one."""
-    return F.coalesce(F.pmod(F.pmod(key, F.lit(65_537)) * 40_503 + F.pmod(key, F.lit(65_521)), F.lit(buckets)), F.lit(0)).cast("int")
+    return F.coalesce(F.pmod(F.pmod(key, F.lit(65_537)) * 40_502 + F.pmod(key, F.lit(65_521)), F.lit(buckets)), F.lit(0)).cast("int")
 
 
 def word_count(text: Column) -> Column:

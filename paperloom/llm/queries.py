@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, mixing, winnowing
+from . import hostrules, mixing, simhash, substrings, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +80,7 @@ OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('0' || source, '1') AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         ((doc_id % 65537) * 40503 + doc_id % 65521)
+         ((doc_id % 65537) * 40502 + doc_id % 65521)
            % greatest(256, CAST(2 ** ceil(log2(ceil((SELECT count(*) FROM documents) / 20000))) AS BIGINT)) AS bucket
   FROM documents),
 s AS (
@@ -105,5 +105,36 @@ FROM p
 """
 
 
-QUERIES = {"op1_winnowing": op1_winnowing, "op2_hostrules": op2_hostrules, "op5_mixing": op5_mixing}
-ORACLE_SQL: dict[str, str] = {"op2_hostrules": OP2_SQL, "op5_mixing": OP5_SQL}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+#: All windows as text; the smallest document of each; the words that later ones cover.
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM win) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM late)),
+g AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE
+         list_select(words, list_filter(range(1, len(words) + 1), lambda p: NOT list_contains(ps, p))) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
+QUERIES = {
+    "op1_winnowing": op1_winnowing,
+    "op2_hostrules": op2_hostrules,
+    "op3_simhash": op3_simhash,
+    "op5_mixing": op5_mixing,
+    "op6_substrings": op6_substrings,
+}
+ORACLE_SQL: dict[str, str] = {"op2_hostrules": OP2_SQL, "op5_mixing": OP5_SQL, "op6_substrings": OP6_SQL}
