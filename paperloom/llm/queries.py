@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, mixing, simhash, substrings, winnowing
+from . import hostrules, mixing, sharding, simhash, substrings, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,11 +130,16 @@ FROM w LEFT JOIN g USING (doc_id)
 """
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assignment(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_hostrules": op2_hostrules,
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
+    "op8_sharding": op8_sharding,
 }
 ORACLE_SQL: dict[str, str] = {"op2_hostrules": OP2_SQL, "op5_mixing": OP5_SQL, "op6_substrings": OP6_SQL}
