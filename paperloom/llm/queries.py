@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, mixing, sharding, simhash, substrings, winnowing
+from . import hostrules, mixing, secrets, sharding, simhash, substrings, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +134,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignment(_table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"), ["doc_id"])
+    of_kind = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        of_kind(0).alias("n_assign"),
+        of_kind(1).alias("n_access"),
+        of_kind(2).alias("n_hex"),
+        F.sha2(secrets.spans_text(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("all_spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_hostrules": op2_hostrules,
@@ -141,5 +154,6 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
     "op8_sharding": op8_sharding,
+    "op9_secrets": op9_secrets,
 }
 ORACLE_SQL: dict[str, str] = {"op2_hostrules": OP2_SQL, "op5_mixing": OP5_SQL, "op6_substrings": OP6_SQL}
