@@ -144,7 +144,10 @@ def _with_hosts(told: DataFrame, judged: DataFrame, host: str) -> DataFrame:
     if rates.count() <= BROADCAST_HOSTS:
         rates = F.broadcast(rates)
     joined = told.join(rates, told[host].eqNullSafe(rates[key])).drop(key)
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col(rate) < REJECT_FROM))
+    # A filter on `kept` must stay here: moved down to the texts, the optimizer would write each step's
+    # expression into the next. A term that depends on the task, though always true, holds it.
+    here = F.spark_partition_id() >= 0
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col(rate) < REJECT_FROM) & here)
 
 
 def verdicts(docs: DataFrame, keep: list[str], text: str = "text", host: str = "source") -> DataFrame:
