@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, mixing, pieces, secrets, sharding, simhash, substrings, winnowing
+from . import hostrules, licenses, mixing, pieces, secrets, sharding, simhash, substrings, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,12 +151,17 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_hostrules": op2_hostrules,
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
+    "op7_licenses": op7_licenses,
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_pieces": op10_pieces,
