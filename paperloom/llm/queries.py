@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, licenses, mixing, pieces, secrets, sharding, simhash, substrings, winnowing
+from . import hostrules, htmlcrf, licenses, mixing, pieces, secrets, sharding, simhash, substrings, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,10 +155,15 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_htmlcrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_hostrules": op2_hostrules,
     "op3_simhash": op3_simhash,
+    "op4_htmlcrf": op4_htmlcrf,
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
     "op7_licenses": op7_licenses,
