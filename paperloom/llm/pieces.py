@@ -26,7 +26,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ SPACE = "\u2581"
 #: Bytes of text encoded at once.
 SLICE_BYTES = 2 << 20
 #: Words that a task remembers before it starts afresh; no result depends on it.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 ship_by_value(__name__)
@@ -163,9 +162,9 @@ class Pieces:
             live, a, b, limit_left, limit_right = live[stay], a[stay], b[stay], limit_left[stay], limit_right[stay]
         return good
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Pieces of each word; all its characters are known, or it is one unknown character."""
-        out: list[list[int]] = [[] for _ in words]
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Piece ids of each word as 32-bit numbers; all its characters are known."""
+        out = [b""] * len(words)
         lengths = np.array([len(w) for w in words])
         for length in np.unique(lengths).tolist():
             own = np.flatnonzero(lengths == length)
@@ -174,7 +173,7 @@ class Pieces:
                 out[i] = ids
         return out
 
-    def _advance(self, codes: np.ndarray) -> list[list[int]]:
+    def _advance(self, codes: np.ndarray) -> list[bytes]:
         n, length = codes.shape
         last = np.full((length + 1, n), -1, np.int64)  # the piece that ends at a position
         back = np.zeros((length + 1, n), np.int32)
@@ -207,51 +206,58 @@ class Pieces:
             reached[end] = last[end] >= 0
         if not reached[length].all():
             raise ValueError("a word has no segmentation")
-        out: list[list[int]] = []
-        for ends, starts in zip(last.T.tolist(), back.T.tolist()):
-            ids, at = [], length
-            while at:
-                ids.append(ends[at])
-                at = starts[at]
-            ids.reverse()
-            out.append(ids)
-        return out
-
-
-@lru_cache(maxsize=2)
-def _pieces(model: bytes) -> Pieces:
-    return Pieces(model)
+        # Walk all words back together; the last pieces come first.
+        rows, at, each = [], np.full(n, length), np.arange(n)
+        while at.any():
+            rows.append(np.where(at > 0, last[at, each], -1))
+            at = back[at, each]
+        ids = np.array(rows[::-1], np.int64).T
+        real = ids >= 0
+        edges = np.concatenate(([0], np.cumsum(real.sum(axis=1)) * 4)).tolist()
+        data = ids[real].astype("<i4").tobytes()
+        return [data[a:b] for a, b in zip(edges, edges[1:])]
 
 
 class Coder:
-    def __init__(self, model: bytes) -> None:
-        self.pieces = _pieces(model)
-        inside = "".join(re.escape(c) for c in self.pieces.known if c != SPACE)
+    """Encodes and decodes with a memory of the words that it has met."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self.known = set(pieces.known)
+        inside = "".join(re.escape(c) for c in pieces.known if c != SPACE)
         self.cut = re.compile(f"{SPACE}+[{inside}]*|[{inside}]+|.", re.DOTALL).findall
-        self.known = set(self.pieces.known)
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
+
+    def _encoded(self, lists: list[list[str]]) -> list[bytes]:
+        """Ids of each list of parts that `cut` made, each different part encoded once."""
+        parts = list(set().union(*lists))
+        plain = [w for w in parts if len(w) > 1 or w in self.known]
+        own = dict(zip(plain, self.pieces.encode_words(plain)))
+        for w in parts:
+            if w not in own:
+                own[w] = np.array([self.pieces.bytes_id[b] for b in w.encode()], "<i4").tobytes()
+        return [b"".join(map(own.__getitem__, words)) for words in lists]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Piece ids of each text."""
-        parts = [self.cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        words = set().union(*parts)
+        """Piece ids of each text.
+
+        Between single spaces a text falls into words that are remembered whole; a text with runs of
+        spaces, or with the mark itself, is cut as one.
+        """
+        whole = [i for i, t in enumerate(texts) if "  " in t or t[:1] == " " or t[-1:] == " " or SPACE in t]
+        out = dict(zip(whole, self._encoded([self.cut(SPACE + texts[i].replace(" ", SPACE)) for i in whole])))
+        split = [t.split(" ") if t and i not in out else () for i, t in enumerate(texts)]
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
-        fresh = [w for w in words if w not in self.memo]
-        plain, known = [], self.known
-        for word in fresh:
-            if len(word) == 1 and word not in known:
-                self.memo[word] = [self.pieces.bytes_id[b] for b in word.encode()]
-            else:
-                plain.append(word)
-        for word, ids in zip(plain, self.pieces.encode_words(plain)):
-            self.memo[word] = ids
         memo = self.memo
-        return [np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32) for words in parts]
+        fresh = [w for w in set().union(*split) if w not in memo]
+        memo.update(zip(fresh, self._encoded([self.cut(SPACE + w) for w in fresh])))
+        return [
+            np.frombuffer(out[i] if i in out else b"".join(map(memo.__getitem__, words)), "<i4") for i, words in enumerate(split)
+        ]
 
     def decode(self, ids: np.ndarray) -> str:
-        table = self.pieces.decoded
-        text = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        text = b"".join(map(self.pieces.decoded.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -265,16 +271,22 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Reco
                 yield batch.slice(a, b - a)
 
 
+@lru_cache(maxsize=2)
+def load(model: str = MODEL) -> Pieces:
+    with open(model, "rb") as file:
+        return Pieces(file.read())
+
+
 ENCODED = "doc_id bigint, n_pieces bigint, ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
-def _encoder(model: bytes):
+def _encoder(pieces: Pieces):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())]
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(model)
+        coder = Coder(pieces)
         for part in _batches(batches, 1):
             texts = pc.fill_null(part.column(1), "").to_pylist()
             ids = coder.encode(texts)
@@ -299,22 +311,19 @@ def _encoder(model: bytes):
 def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """ENCODED of each row: its piece ids, digests of them and of their decoded text, and if that is the text.
 
-    The model (half a MB) is read on the driver and goes out with the tasks' code.
+    The model is read on the driver; its arrays (some MB) go out with the tasks' code.
     """
-    with open(model, "rb") as file:
-        data = file.read()
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_encoder(data), ENCODED)
+    return rows.mapInArrow(_encoder(load(model)), ENCODED)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "text", model: str = MODEL) -> DataFrame:
     """Add the text of each row's piece ids; null ids decode to an empty text."""
-    with open(model, "rb") as file:
-        data = file.read()
+    pieces = load(model)
 
     @F.pandas_udf("string")
     def decoded(values):  # noqa: ANN001, ANN202
-        coder = Coder(data)
+        coder = Coder(pieces)
         return values.map(lambda x: "" if x is None else coder.decode(np.asarray(x)))
 
     return encoded.withColumn(out, decoded(F.col(ids)))
