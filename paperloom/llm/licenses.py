@@ -115,10 +115,10 @@ def automata() -> tuple[list[Automaton], list[frozenset[int]], list[set[str]]]:
     return made, starts, openers
 
 
-def accepted(words: list[str]) -> tuple[set[str], float]:
-    """Labels of the templates that some run of the words fulfils, and the largest share met."""
+def accepted(words: list[str], templates: tuple) -> tuple[set[str], float]:
+    """Labels of the `templates` (see automata) that some run of the words fulfils, and the largest share met."""
     labels, share = set(), 0.0
-    made, starts, openers = automata()
+    made, starts, openers = templates
     for auto, first, opening in zip(made, starts, openers):
         total = auto.met[auto.end]
         for at, word in enumerate(words):
@@ -172,7 +172,7 @@ RESULT = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_
 def _scanner():
     names = [c.split()[0] for c in RESULT.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
-    likely = _likely()
+    likely, templates = _likely(), automata()
     inside = "[0-9a-z\u0080-\U0010ffff]+"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def _scanner():
             for i in np.flatnonzero(np.asarray(pc.match_substring_regex(texts, likely))).tolist():
                 words = WORD.findall(texts[i].as_py())
                 found = places(words)
-                more, share = accepted(words)
+                more, share = accepted(words, templates)
                 own = {label for _, label in found}
                 base[i] = len(found)
                 if found:

@@ -228,7 +228,7 @@ def test_secrets_equal_their_definition(spark):
         3: "",
         4: f"key {key} and deadbeefdeadbeefdeadbeef00",
         5: "API_KEY: abcdef12 api-key=xyz apikey=\"short\" SECRET=sixsix passwd='a'",
-        6: "see section-1-of-the-manual-and-aaaaaaaaaaaaaaaaaaaaaaaa1111111111",
+        6: "see section-1-of-the-manual-and-zzzzzzzzzzzzzzzzzzzzzzzz1111111111",
     }
     docs = spark.createDataFrame([(k, v, "en", "a", 0) for k, v in texts.items()], SCHEMA).withColumn("candidates", F.lit(1))
     docs = docs.unionByName(table(spark).where("doc_id > 6").withColumn("candidates", F.lit(1)))
