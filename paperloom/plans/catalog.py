@@ -1,28 +1,9 @@
-"""The registered queries over the tables of a folder, and the SQL that gives the same rows."""
+"""All registered queries and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import inventory
 
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha256"))
-    first = docs.groupBy("sha256").agg(F.min("doc_id").alias("original_id"), F.count(F.lit(1)).alias("n_copies"))
-    return docs.join(first, "sha256").select(
-        "doc_id", "source", "sha256", "original_id", "n_copies", (F.col("doc_id") != F.col("original_id")).alias("is_copy")
-    )
-
-
-QUERIES = {"exact_duplicates": exact_duplicates}
-ORACLE_SQL = {
-    "exact_duplicates": """
-        SELECT doc_id, source, sha256(text) AS sha256,
-               min(doc_id) OVER w AS original_id, count(*) OVER w AS n_copies,
-               doc_id <> min(doc_id) OVER w AS is_copy
-        FROM documents WINDOW w AS (PARTITION BY text)""",
-}
+_MODULES = (inventory,)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
