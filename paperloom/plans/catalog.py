@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import inventory
+from . import extraction, inventory
 
-_MODULES = (inventory,)
+_MODULES = (inventory, extraction)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
