@@ -53,6 +53,7 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame, folder: str = "dir"
     if folder in existing.columns:
         names = existing.join(replay, folder, "left_semi").groupBy(folder).agg(F.collect_set(fold(F.col(source))).alias("_held"))
         hard = hard.join(names, folder, "left")
+    columns = [*plan.columns, "target"]
     schema = ", ".join(f"`{n}` {t}" for n, t in [*plan.dtypes, ("target", "string")])
 
     def in_turn(group: pd.DataFrame) -> pd.DataFrame:
@@ -68,7 +69,7 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame, folder: str = "dir"
                 target = f"{stem}_{k:02d}.{ext}" if dot and stem else f"{name}_{k:02d}"
             taken.add(target.lower())
             targets.append(target)
-        return group.assign(target=targets)[[*plan.columns, "target"]]
+        return group.assign(target=targets)[columns]
 
     solved = easy.unionByName(hard.groupBy(folder).applyInPandas(in_turn, schema))
     return solved.withColumn("collided", F.col("target") != F.col(proposed))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import extraction, inventory
+from . import extraction, inventory, planning, reports
 
-_MODULES = (inventory, extraction)
+_MODULES = (inventory, extraction, planning, reports)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
