@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import extraction, ingest, inventory, planning, reports
+from . import extraction, ingest, inventory, naming, planning, reports, streams
 
-_MODULES = (inventory, extraction, planning, reports, ingest)
+_MODULES = (inventory, extraction, planning, reports, ingest, naming, streams)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
