@@ -3,5 +3,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table that is read in far fewer parts than there are cores (one small file); any other stays as it is.
+
+    Only such small inputs are shuffled here: a table of a size that matters has more parts than a cluster has cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
