@@ -173,3 +173,20 @@ def override(plan: DataFrame, chosen: DataFrame, folder: str = "dir") -> DataFra
     told = named.join(taken, [folder, "name"], "left")
     result = F.when(F.col("chosen").isNull(), "unchanged").when(ext(F.col("chosen")) != ext(F.col("name")), "extension").when(F.col("_taken"), "taken").otherwise("manual")
     return told.withColumn("override", result).withColumn("target", F.when(F.col("override") == "manual", F.col("chosen")).otherwise(F.col("target"))).drop("_taken", "chosen")
+
+
+def apply_order(plan: DataFrame, session: str, kind: str, path: str) -> DataFrame:
+    """Add turn: files first, then folders from the deepest up, so that no path changes before it is used."""
+    depth = F.size(F.split(path, "/"))
+    order = Window.partitionBy(session).orderBy((F.col(kind) == "folder").cast("int"), F.when(F.col(kind) == "folder", -depth).otherwise(0), path)
+    return plan.withColumn("turn", F.row_number().over(order))
+
+
+def merge_as_document(chosen: DataFrame, group: str, base: str, stem: str, ext: str, order: str) -> DataFrame:
+    """Number chosen rows as the pages of one document, by the number in their names: base_стр_01.ext."""
+    number = F.coalesce(F.regexp_extract(stem, r"(\d+)\D*$", 1).try_cast("long"), F.lit(1 << 40))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(number, order))
+    every = F.count(F.lit(1)).over(Window.partitionBy(group))
+    told = chosen.withColumns({"page": place, "_n": every})
+    label = F.lpad(F.col("page").cast("string"), F.length(F.col("_n").cast("string")), F.lit("0"))
+    return told.withColumn("target", F.concat(F.col(base), F.lit("_стр_"), label, F.col(ext))).drop("_n")

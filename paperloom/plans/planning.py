@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import folders, planning
+from ..sources import manifest
 from .rendered import SQL, rendered
 from .tables import table
 
@@ -152,11 +153,37 @@ def manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.override(plan, chosen).select(F.col("ord"), "target", "override")
 
 
+def apply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_partkey") % 4 == 0, "folder").otherwise("file")
+    path = F.concat_ws("/", F.lit("r"), F.repeat(F.lit("d/"), (F.col("p_size") % 3).cast("int")), F.lpad(F.col("p_partkey").cast("string"), F.lit(9), F.lit("0")))
+    rows = parts.select((F.col("p_partkey") % 3).alias("session"), "p_partkey", "p_size", kind.alias("kind"), path.alias("path"))
+    return planning.apply_order(rows, "session", "kind", "path").select("p_partkey", "turn")
+
+
+def merge_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as scans that are merged to one document."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    named = items.select("l_orderkey", "l_linenumber", F.concat(F.lit("doc"), F.col("l_orderkey").cast("string")).alias("base"), F.concat(F.lit("scan "), F.col("l_linenumber").cast("string"), F.lit("x")).alias("stem"), F.lit(".jpg").alias("ext"))
+    return planning.merge_as_document(named, "l_orderkey", "base", "stem", "ext", "l_linenumber").select("l_orderkey", "l_linenumber", "page", "target")
+
+
+def manifest_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as journal lines, every seventh torn."""
+    events = table(spark, sf_dir, "events")
+    kind = F.when((F.col("event_type") == "purchase") & (F.col("value") > 45), "footer").otherwise("record")
+    rows = events.select(kind.alias("type"), F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), (F.col("value") > 50).alias("completed"))
+    lines = manifest.journal_lines(rows)
+    torn = lines.withColumn("value", F.when(F.get_json_object("value", "$.seq").cast("long") % 7 == 0, F.left("value", F.lit(25))).otherwise(F.col("value")))
+    return manifest.recovered(torn).select("session", "seq", "finished")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         folder_profile, folder_files, folder_name_dedupe, resolve_collisions, related_files, rename_plan, plan_counters, plan_verify,
-        snapshot_diff, history_lookup, undo_plan, incomplete_sessions, manual_overrides,
+        snapshot_diff, history_lookup, undo_plan, incomplete_sessions, manual_overrides, apply_order,
+        merge_numbering, manifest_recovery,
     )
 }
 _TOP = "SELECT custkey, arg_max({0}, (n * 1000000000 - f)) AS v, max(n) AS c FROM (SELECT custkey, {0}, count(*) AS n, min(doc_id) AS f FROM d WHERE {0} IS NOT NULL GROUP BY ALL) GROUP BY custkey"
@@ -222,4 +249,16 @@ ORACLE_SQL = {
                     THEN 'T' || (ord + 1) || '.pdf' ELSE 't' || ord || '.pdf' END AS target,
                CASE WHEN NOT wish THEN 'unchanged' WHEN ord % 3 = 2 THEN 'extension' WHEN ord % 3 = 0 AND EXISTS (SELECT 1 FROM p q WHERE q.dir = x.dir AND q.ord = x.ord + 1) THEN 'taken' ELSE 'manual' END AS override
         FROM x""",
+    "apply_order": """
+        WITH p AS (SELECT p_partkey, p_partkey % 3 AS session, p_partkey % 4 = 0 AS folder, p_size % 3 AS deep,
+            'r/' || repeat('d/', p_size % 3) || '/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS path FROM part)
+        SELECT p_partkey, row_number() OVER (PARTITION BY session ORDER BY folder, CASE WHEN folder THEN -deep ELSE 0 END, encode(path)) AS turn FROM p""",
+    "merge_numbering": """
+        WITH i AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
+        k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS page, count(*) OVER (PARTITION BY l_orderkey) AS n FROM i)
+        SELECT l_orderkey, l_linenumber, page, 'doc' || l_orderkey || '_стр_' || lpad(CAST(page AS VARCHAR), CAST(length(CAST(n AS VARCHAR)) AS INT), '0') || '.jpg' AS target FROM k""",
+    "manifest_recovery": """
+        WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, event_type = 'purchase' AND value > 45 AS footer, value > 50 AS done FROM events WHERE event_id % 7 <> 0),
+        s AS (SELECT session, coalesce(bool_or(footer AND done), false) AS finished FROM e GROUP BY session)
+        SELECT session, seq, finished FROM e JOIN s USING (session) WHERE NOT footer""",
 }
