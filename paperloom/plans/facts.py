@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import facts
-from ..sources import decoding
+from ..sources import decoding, profiles
 from .rendered import SQL, rendered
+from .tables import table
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,29 @@ def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "encoding", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_rows, explain_card, series_fact_sharing, prompt_context, ground_answers, decode_bytes)}
+def unread_run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation as the pages of a run, in folders that a person or a device named."""
+    people = table(spark, sf_dir, "customer")
+    folder = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("Договоры страны "), F.col("c_nationkey").cast("string"))).otherwise("scan001")
+    pages = people.select("c_custkey", "c_nationkey", folder.alias("folder"), ((F.col("c_nationkey") % 3 == 0) & (F.col("c_custkey") % 2 == 0)).alias("informative"))
+    return facts.name_unread_runs(pages, "c_nationkey", "folder", "informative").select("c_custkey", "label")
+
+
+def date_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    day, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey")
+    picked = facts.date_fallback(F.when(k % 3 == 0, day), F.when(k % 2 == 0, day), day)
+    return orders.select("o_orderkey", picked.alias("d")).select("o_orderkey", "d.*")
+
+
+def json_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' properties one level further in."""
+    events = table(spark, sf_dir, "events")
+    text = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "more": {"props": '), "props", F.lit(', "list": [{"ok": true}]}}'))
+    return events.select("event_id", F.array_join(profiles.json_fragments(text), "; ").alias("fragments"))
+
+
+QUERIES = {f.__name__: f for f in (evidence_rows, explain_card, series_fact_sharing, prompt_context, ground_answers, decode_bytes, unread_run_names, date_sources, json_fragments)}
 _R = f"WITH r AS ({SQL})"
 _OWN = "doc_id % 5 <> 0 AND doc_id % 3 <> 0"
 ORACLE_SQL = {
@@ -74,4 +97,12 @@ ORACLE_SQL = {
     + """ SELECT doc_id, 'number' AS kind, CASE doc_id % 3 WHEN 0 THEN tax_id WHEN 1 THEN '0000000000' ELSE upper(person) END AS value, doc_id % 3 <> 1 AS supported FROM r
         UNION ALL SELECT doc_id, 'kind', kind, true FROM r""",
     "decode_bytes": _R + " SELECT doc_id, 'utf-8' AS encoding, sha256(text) AS text_sha256 FROM r",
+    "unread_run_names": """
+        WITH n AS (SELECT c_nationkey, bool_or(c_nationkey % 3 = 0 AND c_custkey % 2 = 0) AS known FROM customer GROUP BY 1)
+        SELECT c_custkey, CASE WHEN NOT known THEN CASE WHEN c_nationkey % 2 = 0 THEN 'Договоры страны ' || c_nationkey ELSE 'Скан' END END AS label FROM customer JOIN n USING (c_nationkey)""",
+    "date_sources": """
+        SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'regex' WHEN o_orderkey % 2 = 0 THEN 'metadata' ELSE 'filesystem' END AS source,
+            CASE WHEN o_orderkey % 3 = 0 THEN 0.9::DOUBLE WHEN o_orderkey % 2 = 0 THEN 0.55::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
+            CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'DATE_SOURCE_FILE_PROPERTY' ELSE 'DATE_SOURCE_FILESYSTEM' END AS status FROM orders""",
+    "json_fragments": "SELECT event_id, 'type: ' || event_type || '; k: ' || (props->>'k') || '; ok: true' AS fragments FROM events",
 }

@@ -119,3 +119,11 @@ def safe_metadata(values: Column) -> Column:
     return F.map_filter(F.transform_values(values, lambda k, v: F.trim(v)), lambda k, v: v.isNotNull() & (v != ""))
 
 
+
+
+def json_fragments(json: Column, most: int = 200, longest: int = 200) -> Column:
+    """`key: value` of the short leaves of a JSON text, at any depth, in order."""
+    leaf = r'"([^"\\]{1,80})"\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9.eE+-]+|true|false)'
+    found = F.regexp_extract_all(json, F.lit(leaf), F.lit(0))
+    told = F.transform(found, lambda m: F.concat_ws(": ", F.regexp_extract(m, leaf, 1), F.regexp_replace(F.regexp_extract(m, leaf, 2), '^"|"$', "")))
+    return F.slice(F.filter(told, lambda t: F.length(t) <= longest), 1, most)
