@@ -80,7 +80,7 @@ def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = series.page_runs(_page_files(spark, sf_dir), ["dir", "ext"], most_gap=30)
-    return found.select("ord", "dir", "stem", "number", "page", "total", "page_label", "position")
+    return found.select("ord", "dir", "stem", "number", F.col("page").cast("long").alias("page"), "total", "page_label", "position")
 
 
 def multi_volume_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def batch_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listing_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("folder"), "p_partkey", F.col("p_name").alias("name"))
-    return files.listing(parts, "folder", "name", "p_partkey", 5)
+    return files.listing(parts, "folder", "name", "p_partkey", 5).withColumn("place", F.col("place").cast("long"))
 
 
 QUERIES = {

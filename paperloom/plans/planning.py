@@ -135,7 +135,7 @@ def undo_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ext = F.when(F.col("path").cast("long") % 41 == 0, ".doc").otherwise(".pdf")
     now = after.select(F.concat(F.lit("d/"), F.col("path"), ext).alias("path"), "sha256")
-    return planning.undo_plan(records, now).select("session", "seq", "undo", "turn")
+    return planning.undo_plan(records, now).select("session", "seq", "undo", F.col("turn").cast("long").alias("turn"))
 
 
 def incomplete_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,14 +158,14 @@ def apply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("p_partkey") % 4 == 0, "folder").otherwise("file")
     path = F.concat_ws("/", F.lit("r"), F.repeat(F.lit("d/"), (F.col("p_size") % 3).cast("int")), F.lpad(F.col("p_partkey").cast("string"), F.lit(9), F.lit("0")))
     rows = parts.select((F.col("p_partkey") % 3).alias("session"), "p_partkey", "p_size", kind.alias("kind"), path.alias("path"))
-    return planning.apply_order(rows, "session", "kind", "path").select("p_partkey", "turn")
+    return planning.apply_order(rows, "session", "kind", "path").select("p_partkey", F.col("turn").cast("long").alias("turn"))
 
 
 def merge_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as scans that are merged to one document."""
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
     named = items.select("l_orderkey", "l_linenumber", F.concat(F.lit("doc"), F.col("l_orderkey").cast("string")).alias("base"), F.concat(F.lit("scan "), F.col("l_linenumber").cast("string"), F.lit("x")).alias("stem"), F.lit(".jpg").alias("ext"))
-    return planning.merge_as_document(named, "l_orderkey", "base", "stem", "ext", "l_linenumber").select("l_orderkey", "l_linenumber", "page", "target")
+    return planning.merge_as_document(named, "l_orderkey", "base", "stem", "ext", "l_linenumber").select("l_orderkey", "l_linenumber", F.col("page").cast("long").alias("page"), "target")
 
 
 def manifest_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
