@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh, ship_by_value
@@ -40,19 +40,26 @@ HOT_KEY = 64
 ship_by_value(__name__)
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text, as a signed 64-bit number."""
+def hashes_of(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of every shingle of a text, in order, big-endian."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, ">u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     take = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(
+    return np.array(
         [digest(joined[a:b], HASH_SEED) for a, b in zip(starts.tolist(), ends[take - 1 :].tolist())], dtype=">u8"
     )
+
+
+def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text, as a signed 64-bit number."""
+    hashes = hashes_of(text, shingle)
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes)).view(">i8")[0])
 
@@ -145,17 +152,42 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, with the columns of `docs`: that of its component_id.
+    """One row of each component, with the columns of `docs`: the one with the least id (null last), then text."""
+    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), content_of(F.col(text)).alias("content"), F.col(text).cast("string").alias("text"))
+    marked = rows.mapInArrow(_contents, "doc_id bigint, content bigint, fingerprint bigint")
+    named = checkpointed(marked.groupBy("content", "fingerprint").agg(F.min("doc_id").alias("least_id")))
+    roots = components(links(named.select("fingerprint").distinct()))
+    rooted = named.join(roots, F.col("fingerprint") == F.col("node"), "left")
+    return least_rows(docs, rooted.select("content", "least_id", F.coalesce("root", "fingerprint").alias("root")), ident, text)
 
-    Of rows that share that id, the one with the least text stays, so repeated rows leave one.
+
+def content_of(text: Column) -> Column:
+    """A 64-bit hash that stands for a text; copies have the same."""
+    return F.xxhash64(text.cast("string"))
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array([fingerprint_of(t.as_py()) for t in batch.column(2)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["doc_id", "content", "fingerprint"])
+
+
+def least_rows(docs: DataFrame, rooted: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of each root with the least id (null last), then the least text; rows that repeat it leave one.
+
+    rooted: (content, least_id, root) of each content, where least_id is the least id of its rows. Rows are
+    dealt by id and content, so copies do not meet; only rows that share an id are compared by text.
     """
-    key, body, rank, place = fresh(docs, "dedup_id", "dedup_text", "dedup_rank", "dedup_component")
-    found = near_duplicates(docs, ident, text)
-    # A component without any id keeps one of its rows, whichever has the least text.
-    heads = found.select(F.col("component_id").alias(place)).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[ident].cast("long").alias(key), docs[text].alias(body))
-    kept = rows.join(heads, rows[key].eqNullSafe(heads[place]), "left_semi")
+    key, body, content, rank, place = fresh(docs, "dedup_id", "dedup_text", "dedup_content", "dedup_rank", "dedup_root")
+    rooted = checkpointed(rooted)
+    best = rooted.groupBy("root").agg(F.min("least_id").alias("best"))
+    heads = rooted.join(best, "root").where(F.col("least_id").eqNullSafe(F.col("best")))
+    heads = heads.select(F.col("content").alias("head"), "least_id", F.col("root").alias(place))
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[ident].cast("long").alias(key), docs[text].alias(body), content_of(docs[text]).alias(content)
+    )
+    kept = rows.join(heads, (rows[content] == heads["head"]) & rows[key].eqNullSafe(heads["least_id"]))
     if docs.groupBy(ident).count().where("count > 1").limit(1).count():
-        turn = Window.partitionBy(key).orderBy(F.col(body).asc_nulls_first())
+        turn = Window.partitionBy(place).orderBy(F.col(body).asc_nulls_first())
         kept = kept.withColumn(rank, F.row_number().over(turn)).where(F.col(rank) == 1)
     return kept.select("row.*")

@@ -93,6 +93,14 @@ def test_keep_one_leaves_one_row_of_each_component(spark):
     assert found == {(None, False): 4, (4, False): 4, (None, True): None}
 
 
+def test_keep_one_goes_by_component_and_not_by_id(spark):
+    texts = ["a b c d e", "completely other words stand here", "nothing in common with those"]
+    unnamed = spark.createDataFrame([(None, t, "e", "s", 1) for t in [*texts, texts[0]]], SCHEMA)
+    assert sorted(r["text"] for r in simhash.keep_one(unnamed).collect()) == sorted(texts)
+    shared = spark.createDataFrame([(5, texts[0], "e", "s", 1), (5, texts[1], "e", "s", 1), (7, texts[1], "e", "s", 1)], SCHEMA)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(shared).collect()) == sorted((5, t) for t in texts[:2])
+
+
 def without_repeats(data, width):
     starts = defaultdict(set)
     for ident, text in data:
