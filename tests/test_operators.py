@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import matching, quality
 from paperloom.operators import extract, naming, planning, series
+from paperloom.plans import streams
 from paperloom.sources import files
 
 
@@ -131,3 +132,13 @@ def test_types_by_bytes(spark):
     t = files.detect_type(F.col("content"), F.col("ext"))
     told = df.withColumn("t", t).select("id", "t.kind", files.extension_mismatch(F.col("t.kind"), F.col("t.method"), F.col("ext")).alias("m"))
     assert {r["id"]: (r["kind"], r["m"]) for r in told.collect()} == {i: (k, m) for i, (_, _, k, m) in enumerate(rows)}
+
+
+def test_daily_report_counts_days_of_any_order_of_files(spark, tmp_path):
+    days = [28, 2, 15, 30, 9, 21, 1, 12, 3, 26, 5, 18, 7, 23, 11, 29, 4, 16, 8, 20]  # 20 files, 8 in a batch
+    for i, day in enumerate(days):
+        rows = [(f"2024-01-{d:02d} 10:00:00", "open", 1.0) for d in (day, days[-1 - i])]
+        df = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    found = {r["day"]: (r["n"], r["total"]) for r in streams.stream_daily_report(spark, str(tmp_path)).collect()}
+    assert found == {f"2024-01-{d:02d}": (2, 2.0) for d in days}
