@@ -62,6 +62,7 @@ class Automaton:
     free: list[set[int]] = field(default_factory=list)
     met: list[int] = field(default_factory=list)  # mandatory words before each state
     end: int = 0
+    firsts: set[str] = field(default_factory=set)  # the first mandatory words: without one of them nothing is met
 
     def state(self, met: int) -> int:
         self.steps.append({})
@@ -103,6 +104,7 @@ def compiled(label: str, template: str) -> Automaton:
                 auto.steps[at].setdefault(word, set()).add(after)
                 at = after
     auto.end = at
+    auto.firsts = {w for s, moves in enumerate(auto.steps) if not auto.met[s] for w, after in moves.items() if any(auto.met[t] for t in after)}
     return auto
 
 
@@ -119,7 +121,10 @@ def accepted(words: list[str], templates: tuple) -> tuple[set[str], float]:
     """Labels of the `templates` (see automata) that some run of the words fulfils, and the largest share met."""
     labels, share = set(), 0.0
     made, starts, openers = templates
+    known = set(words)
     for auto, first, opening in zip(made, starts, openers):
+        if not auto.firsts & known:
+            continue
         total = auto.met[auto.end]
         for at, word in enumerate(words):
             if opening and word not in opening:
@@ -159,11 +164,11 @@ def places(words: list[str]) -> list[tuple[int, str]]:
 
 
 def _likely() -> str:
-    """A pattern that every text with a phrase or a whole template matches: two neighbouring words of each."""
+    """A pattern that every text with a phrase or a first mandatory word of a template matches."""
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    pairs = {tuple(p.split()[:2]) for p in PHRASES}
-    pairs |= {("licensed", "under"), ("hereby", "granted"), ("binary", "forms"), ("spdx", "license"), ("rights", "reserved")}
-    return "|".join(f"{a}{gap}{b}" for a, b in sorted(pairs))
+    firsts = {w for auto in automata()[0] for w in auto.firsts}
+    heads = {tuple(p.split()[:2]) for p in PHRASES} | {(w,) for w in firsts}
+    return "|".join(gap.join(h) for h in sorted(heads))
 
 
 RESULT = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"

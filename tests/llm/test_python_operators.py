@@ -202,6 +202,21 @@ def test_licences_equal_their_definition(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_licence_scores_need_no_anchor(spark):
+    texts = [
+        "Redistribution and use in source with or without modification",  # 5 of 20 words in order
+        "permission is granted",  # 2 of 19
+        "copyright holders keep all",
+        "you may copy this under the moon",
+        "this work is free",  # optional and replaceable words only
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in licenses.scan(docs).collect()}
+    templates = licenses.automata()
+    assert got == {i: licenses.accepted(licenses.WORD.findall(t.lower()), templates)[1] / 2 for i, t in enumerate(texts)}
+    assert [got[i] > 0 for i in range(5)] == [True, True, True, True, False]
+
+
 def test_template_regions():
     auto = licenses.compiled("t", "a <<beginOptional>>b c<<endOptional>> d <<var;match=[0-9]+;most=2>> e")
 
