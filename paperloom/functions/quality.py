@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters that the reference looks at; the operators take whole texts unless a sample is asked for.
 SAMPLE = 20_000
 #: Letter frequencies of Russian (yo counted as ye).
 LETTERS = {
@@ -49,9 +50,9 @@ def comparison_key(text: Column) -> Column:
     return F.translate(F.lower(text), "ё", "е")
 
 
-def language_hint(text: Column) -> Column:
-    """ru, en, mixed or empty, by the letters of the sample."""
-    part = F.left(text, F.lit(SAMPLE))
+def language_hint(text: Column, sample: int | None = None) -> Column:
+    """ru, en, mixed or empty, by the letters of the text, or of its first `sample` characters."""
+    part = text if sample is None else F.left(text, F.lit(sample))
     cyrillic, latin = _count(part, CYRILLIC), _count(part, "[A-Za-z]")
     return (
         F.when(cyrillic + latin == 0, "")
@@ -61,9 +62,10 @@ def language_hint(text: Column) -> Column:
     )
 
 
-def with_quality(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the ratios, `score` and `statuses`. Null is an empty text, whose score is 0."""
-    part = F.left(F.coalesce(F.col(text), F.lit("")), F.lit(SAMPLE))
+def with_quality(df: DataFrame, text: str = "text", sample: int | None = None) -> DataFrame:
+    """Add the ratios, `score` and `statuses` of the whole text, or of its first `sample` characters. Null is an empty text, whose score is 0."""
+    part = F.coalesce(F.col(text), F.lit(""))
+    part = part if sample is None else F.left(part, F.lit(sample))
     told = df.withColumn("_part", part)
     p = F.col("_part")
     russian = F.filter(F.regexp_extract_all(p, F.lit(WORD), F.lit(0)), lambda w: w.rlike(CYRILLIC))

@@ -46,14 +46,14 @@ def ignored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), sample=quality.SAMPLE)
     rounded = [F.round(c, 4).alias(c) for c in ("score", "latin_ratio", "replacement_ratio", "control_ratio", "mojibake_ratio", "other_script_ratio")]
     return told.select("doc_id", *rounded, F.array_join("statuses", ",").alias("statuses"))
 
 
 def language_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", quality.language_hint(F.col("text")).alias("hint"))
+    return docs.select("doc_id", quality.language_hint(F.col("text"), quality.SAMPLE).alias("hint"))
 
 
 def mixed_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def page_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = quality.with_quality(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    told = quality.with_quality(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), sample=quality.SAMPLE)
     rolled = series.page_quality(told, "conv_id", "text", "latin_ratio")
     return rolled.select("conv_id", "n_pages", "n_chars", F.round("quality", 4).alias("quality"), F.round("chars_per_page", 4).alias("chars_per_page"), "needs_ocr")
 

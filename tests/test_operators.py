@@ -89,6 +89,14 @@ def test_quality_of_right_and_wrong_decoding(spark):
     assert rows[3]["score"] == 0 and "ENCODING_UNCERTAIN" in rows[4]["statuses"]
 
 
+def test_quality_sees_the_whole_text_unless_sampled(spark):
+    df = values(spark, [(1, "a" * 20_000 + "\ufffd" * 20_000 + "я" * 90_000)])
+    whole, part = quality.with_quality(df).first(), quality.with_quality(df, sample=quality.SAMPLE).first()
+    assert "ENCODING_UNCERTAIN" in whole["statuses"] and whole["score"] < 0.1
+    assert part["statuses"] == [] and part["score"] == 1
+    assert df.select(quality.language_hint(F.col("text")), quality.language_hint(F.col("text"), quality.SAMPLE)).first()[:] == ("ru", "en")
+
+
 def test_series_and_pages(spark):
     names = ["Дело том 1", "Дело том 2", "Дело_3", "отчёт (1)", "1", "2", "IMG_5608", "IMG_5609", "IMG_5612", "IMG_5620", "01 скан", "02 скан"]
     df = spark.createDataFrame([(i, "d", n, ".jpg") for i, n in enumerate(names)], "ord long, dir string, stem string, ext string")
