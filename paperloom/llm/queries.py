@@ -23,7 +23,9 @@ def op2_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_repeat_words",
         "base_failed",
         "kept",
+        "soft_failed",
         F.round("host_rate", 9).alias("host_rate"),
+        "host_verdict",
     )
 
 
@@ -47,16 +49,25 @@ base AS (
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
          len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
   FROM w JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
-hosts AS (
-  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad, count(*) FILTER (base_failed) / count(*) AS rate
-  FROM f GROUP BY source),
+f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         n_symbols > 0.1::DOUBLE * n_words OR n_dup_lines > 0.1::DOUBLE * n_words AS soft_failed FROM base),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS bad FROM f GROUP BY source),
+moments AS (
+  SELECT sum(bad) / sum(n) AS m, sum(n) AS docs, sum(n) - sum(n * n) / sum(n) AS spare, count(*) AS k,
+         sum(bad * bad / n) - sum(n) * (sum(bad) / sum(n)) ** 2 AS squares FROM hosts),
 prior AS (
-  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS s
-  FROM (SELECT avg(rate) AS m, var_pop(rate) AS v FROM hosts))
+  SELECT m, CASE WHEN squares - (k - 1) * m * (1 - m) > 0 AND spare > 0
+    THEN least(greatest(m * (1 - m) / ((squares - (k - 1) * m * (1 - m)) / spare) - 1, 1.0), 1000.0) ELSE 1000.0 END AS s
+  FROM moments),
+shrunk AS (SELECT source, n + s AS weight, (bad + m * s) / (n + s) AS rate FROM hosts CROSS JOIN prior),
+judged AS (
+  SELECT source, rate, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5 THEN 'rejected'
+    WHEN rate * 20 > 1 - rate THEN 'strict' ELSE 'trusted' END AS verdict FROM shrunk)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (bad + m * s) / (n + s) < 0.9 AS kept, round((bad + m * s) / (n + s), 9) AS host_rate
-FROM f JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source CROSS JOIN prior
+       NOT base_failed AND verdict <> 'rejected' AND (verdict = 'trusted' OR NOT soft_failed) AS kept,
+       soft_failed, round(rate, 9) AS host_rate, verdict AS host_verdict
+FROM f JOIN judged ON f.source IS NOT DISTINCT FROM judged.source
 """
 
 

@@ -91,17 +91,54 @@ def test_rules_equal_their_definition(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, ident
         failed[ident] = want[0] < 50 or 100 * want[4] > 50 * want[0]
         assert r["base_failed"] == failed[ident]
-    hosts = defaultdict(list)
+    soft, hosts = {}, defaultdict(list)
+    for ident, text, _, source, _ in data:
+        n, _, symbols, lines, _ = base(text)
+        soft[ident] = symbols > 0.1 * n or lines > 0.1 * n
+        hosts[source].append(failed[ident] or soft[ident])
+    n = sum(map(len, hosts.values()))
+    m = sum(map(sum, hosts.values())) / n
+    spread = sum(len(x) * (sum(x) / len(x) - m) ** 2 for x in hosts.values()) - (len(hosts) - 1) * m * (1 - m)
+    v = spread / (n - sum(len(x) ** 2 for x in hosts.values()) / n)
+    s = min(max(m * (1 - m) / v - 1, 1.0), 1000.0) if v > 0 else 1000.0
     for ident, _, _, source, _ in data:
-        hosts[source].append(failed[ident])
-    rates = [sum(v) / len(v) for v in hosts.values()]
-    m = sum(rates) / len(rates)
-    v = sum((x - m) ** 2 for x in rates) / len(rates)
-    s = min(max(m * (1 - m) / v - 1, 1.0), 1000.0)
-    for ident, _, _, source, _ in data:
-        shrunk = (sum(hosts[source]) + m * s) / (len(hosts[source]) + s)
+        size = len(hosts[source]) + s
+        shrunk = (sum(hosts[source]) + m * s) / size
         assert got[ident]["host_rate"] == pytest.approx(shrunk)
-        assert got[ident]["kept"] == (not failed[ident] and shrunk < hostrules.REJECT_FROM)
+        rejected = shrunk - 1.645 * (shrunk * (1 - shrunk) / (size + 1)) ** 0.5 > 0.5
+        strict = rejected or shrunk * 20 > 1 - shrunk
+        assert got[ident]["kept"] == (not failed[ident] and not rejected and not (strict and soft[ident]))
+
+
+def test_host_verdicts_decide_on_soft_failures(spark):
+    """The same two texts stand on a good, a middling and a bad host; only the host differs."""
+    clean = " ".join(f"w{i}" for i in range(80))
+    noisy = " ".join(f"w{i}" + "#" * (i % 5 == 0) for i in range(80))
+    data, i = [], 0
+    for host, bad in (("good", 4), ("middling", 120), ("bad", 700)):
+        for j in range(1000):
+            data.append((i := i + 1, "junk" if j < bad else noisy if j < bad + 3 else clean, "en", host, 1))
+    # Small hosts of one or two documents carry no verdict of their own.
+    data += [(i := i + 1, "junk" if j % 5 == 0 else clean, "en", f"small{j}", 1) for j in range(400)]
+    got = hostrules.verdicts(spark.createDataFrame(data, SCHEMA).withColumn("kept", F.lit("x")), ["doc_id", "source", "text", "kept"]).collect()
+    verdict = {r["source"]: r["host_verdict"] for r in got}
+    assert [verdict[h] for h in ("good", "middling", "bad")] == ["trusted", "strict", "rejected"]
+    assert {verdict[f"small{j}"] for j in range(400)} == {"strict"}
+    kept = defaultdict(set)
+    for r in got:
+        kept[r["source"], r["text"]].add(r["kept"])
+    assert kept["good", clean] == kept["good", noisy] == kept["middling", clean] == {True}
+    assert kept["middling", noisy] == kept["bad", clean] == kept["bad", noisy] == {False}
+
+
+def test_long_texts_of_different_words_repeat_nothing(spark):
+    """3,000,000 words: hash and position share 62 bits, so equal hashes alone would claim repeats."""
+    n = 3_000_000
+    long = spark.sql(f"SELECT 1L AS doc_id, concat_ws(' ', transform(sequence(1, {n}), i -> conv(i, 10, 36))) AS text, 's' AS source")
+    twice = spark.sql("SELECT 2L AS doc_id, repeat('a b c d e ', 100000) AS text, 's' AS source")
+    got = {r["doc_id"]: r for r in hostrules.verdicts(long.unionByName(twice), ["doc_id"]).collect()}
+    assert (got[1]["n_words"], got[1]["n_repeat_words"]) == (n, 0)
+    assert got[2]["n_repeat_words"] == got[2]["n_words"] == 500_000
 
 
 def test_bad_hosts_lose_their_clean_documents_and_columns_stay(spark):
