@@ -20,18 +20,48 @@ def ship_by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in `spark.checkpoint.dir`, which all executors share.
 
-    Only a session without `spark.checkpoint.dir` (tests, a shell) gets a folder of its own.
+    Where it is unset, a session on one machine (tests, a shell) gets a folder of its own; a cluster is refused.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def joined_to_keys(many: DataFrame, one: DataFrame, key: str, held: str, hot: int, salts: int = 64) -> DataFrame:
+    """`many` joined to `one`, which has one row for each key with `held`, the number of rows of `many` that have it.
+
+    Keys with more than `hot` rows are dealt out over `salts` copies of their row, so that no task gets all rows of a
+    key. There are at most rows / hot such keys; they are found in `many` by a join that broadcasts them if Spark's
+    size check allows it.
+    """
+    large = one.where(F.col(held) > hot).select(key)
+    if not large.limit(1).count():
+        return many.join(one.drop(held), key)
+    salt, flag = fresh(many.join(one.limit(0), key), "join_salt", "join_flag")
+    dealt = many.join(large.withColumn(flag, F.lit(True)), key, "left")
+    turn = F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), F.lit(salts))
+    dealt = dealt.withColumn(salt, F.when(F.col(flag), turn).otherwise(F.lit(0).cast("long"))).drop(flag)
+    copies = F.when(F.col(held) > hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(one.withColumn(salt, F.explode(copies)).drop(held), [key, salt]).drop(salt)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

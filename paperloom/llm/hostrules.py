@@ -9,7 +9,7 @@ the rate of all hosts by an empirical beta prior, and the verdict goes back to t
 * `strict`: so many documents fail that a soft failure, taken as `EVIDENCE` times likelier for a bad
   document than for a good one, makes the document more likely bad than good: soft rules bind too;
 * `rejected`: the host credibly (`CREDIBLE` standard deviations of its posterior) fails with more than
-  half of its documents: all of them go.
+  four fifths of its documents: all of them go.
 
 The prior is fitted by moments to the hosts' rates weighted by their documents, less the spread that
 chance alone gives hosts of their sizes; so many small hosts don't pass for spread.
@@ -33,7 +33,7 @@ MOST_DUP_LINES = 0.1
 #: How much likelier a soft failure is for a bad document than for a good one.
 EVIDENCE = 20.0
 #: A host is rejected where its rate is above this by CREDIBLE standard deviations.
-REJECT_ABOVE = 0.5
+REJECT_ABOVE = 0.8
 CREDIBLE = 1.645
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (1.0, 1000.0)

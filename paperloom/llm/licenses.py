@@ -5,12 +5,17 @@ A template is a notice in which optional regions stand between `<<beginOptional>
 It compiles to an automaton over words. A text is accepted where some run of its words spells all
 mandatory wording exactly, with optional regions present or not and replaceable ones filled.
 
+The templates (templates.py) are one-line notices and whole licences with their conditions and disclaimers, so a
+licence that lost a condition is not accepted, but scores by the words that are there.
+
 Words are lower-cased (A-Z) runs of 0-9, a-z and all characters beyond ASCII. Besides the templates
 there are fixed phrases with labels of their own; `score` is 1 if a template is accepted, otherwise half
 of the largest share of a template's mandatory words that was met in order from some word on, or 0.5
 if a phrase stands there and no share is larger.
 
-Defined results: null is an empty text; without a place, first_word and last_word are null and labels are empty.
+Defined results: null is an empty text; without a place, first_word and last_word are null and labels are empty;
+repeated rows get equal results; extra columns are left out; an empty table gives an empty one. Texts of any length
+are read whole.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship_by_value
+from .templates import TEMPLATES
 
 #: Phrases and their labels.
 PHRASES = {
@@ -35,17 +41,6 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Notices as templates, by label.
-TEMPLATES = {
-    "gpl-notice": "<<beginOptional>>this<<endOptional>> <<var;match=[a-z]+;most=3>> licensed under <<beginOptional>>the terms of<<endOptional>> the gnu <<beginOptional>>lesser<<endOptional>> general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version <<var;match=[0-9]+;most=2>> <<beginOptional>>of the license or at your option any later version<<endOptional>>",
-    "apache-notice": "licensed under the apache license <<beginOptional>>version<<endOptional>> <<var;match=[0-9]+;most=2>> <<beginOptional>>the license you may not use this file except in compliance with the license<<endOptional>>",
-    "cc-by-notice": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> <<beginOptional>>cc<<endOptional>> <<beginOptional>>attribution<<endOptional>> by <<beginOptional>>nc<<endOptional>> <<beginOptional>>sa<<endOptional>> <<beginOptional>>nd<<endOptional>> <<var;match=[0-9]+;most=2>> <<beginOptional>>international<<endOptional>> <<beginOptional>>license<<endOptional>>",
-    "mit-notice": "<<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>> <<beginOptional>>distributed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "spdx-tag": "spdx license identifier <<var;match=[0-9a-z]+;most=4>>",
-    "rights-reserved": "copyright <<beginOptional>>c<<endOptional>> <<var;match=.+;most=8>> all rights reserved",
-}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MARKUP = re.compile(r"<<(beginOptional|endOptional|var)((?:;[a-z]+=[^;>]+)*)>>|([^<]+)")
 
@@ -126,9 +121,7 @@ def accepted(words: list[str], templates: tuple) -> tuple[set[str], float]:
         if not auto.firsts & known:
             continue
         total = auto.met[auto.end]
-        for at, word in enumerate(words):
-            if opening and word not in opening:
-                continue
+        for at in _places(words, opening & known) if opening else range(len(words)):
             states, i = first, at
             while states and i < len(words):
                 moved = set()
@@ -147,6 +140,15 @@ def accepted(words: list[str], templates: tuple) -> tuple[set[str], float]:
     return labels, share
 
 
+def _places(words: list[str], wanted: set[str]) -> Iterator[int]:
+    """Where any of the wanted words stands, word by word."""
+    for word in sorted(wanted):
+        at = -1
+        for _ in range(words.count(word)):
+            at = words.index(word, at + 1)
+            yield at
+
+
 def places(words: list[str]) -> list[tuple[int, str]]:
     """(first word, label) of every place of a phrase."""
     out = []

@@ -110,7 +110,14 @@ def plan(sized: DataFrame, key: str, size: str, ident: str) -> Mix:
 
 
 def with_copies(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id") -> DataFrame:
-    """Add size, source_size, target and n_copies (0, 1 or 2) to each row."""
+    """Add size, source_size, target and n_copies (0, 1 or 2) to each row; columns with these names are replaced."""
+    names = fresh(docs, "mixed_text", "mixed_source", "mixed_ident")
+    inner = docs.withColumns({names[0]: docs[text], names[1]: docs[source], names[2]: docs[ident]})
+    told = _with_copies(inner.drop("size", "source_size", "target", "n_copies"), *names)
+    return told.drop(*names)
+
+
+def _with_copies(docs: DataFrame, text: str, source: str, ident: str) -> DataFrame:
     key, bucket, place, before, expected = fresh(docs, "mix_key", "mix_bucket", "mix_place", "mix_before", "mix_expected")
     sized = docs.withColumn("size", word_count(F.col(text))).withColumn(key, source_key(F.col(source)))
     mix = plan(sized.select(key, "size", F.col(ident)), key, "size", ident)
@@ -131,5 +138,5 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     """The mix itself: each row as often as it is taken, with the columns of `docs`."""
     names = fresh(docs, "mix_text", "mix_source", "mix_ident")
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias(names[0]), docs[source].alias(names[1]), docs[ident].alias(names[2]))
-    taken = with_copies(inner, *names).where("n_copies > 0")
+    taken = _with_copies(inner, *names).where("n_copies > 0")
     return taken.select(F.explode(F.array_repeat("row", F.col("n_copies").cast("int"))).alias("row")).select("row.*")

@@ -62,7 +62,7 @@ prior AS (
   FROM moments),
 shrunk AS (SELECT source, n + s AS weight, (bad + m * s) / (n + s) AS rate FROM hosts CROSS JOIN prior),
 judged AS (
-  SELECT source, rate, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5 THEN 'rejected'
+  SELECT source, rate, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.8 THEN 'rejected'
     WHEN rate * 20 > 1 - rate THEN 'strict' ELSE 'trusted' END AS verdict FROM shrunk)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND verdict <> 'rejected' AND (verdict = 'trusted' OR NOT soft_failed) AS kept,

@@ -15,7 +15,8 @@ table of bounded size. What is not found "not random" is kept as a secret.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no secrets; a
 candidate that a known kind's span overlaps is dropped, known spans stay as they are, also where they
-overlap each other; repeated rows get equal results.
+overlap each other; repeated rows get equal results; an empty table gives an empty one. A kept column with the
+name of a result (base_spans, all_spans) is replaced by it.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ BLOCK = 64
 
 
 def _prefix_sums(lengths: Column) -> Column:
-    """Sum of the lengths before each one, in blocks so that work grows far slower than the square."""
+    """Sum of the lengths before each one, in blocks: each block adds up those before it once, and its own."""
 
     def total(part: Column) -> Column:
         return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -66,8 +67,8 @@ def _prefix_sums(lengths: Column) -> Column:
                 lambda sums: F.flatten(
                     F.transform(
                         p,
-                        lambda part, b: F.transform(
-                            part, lambda _, j: total(F.slice(sums, 1, b)) + total(F.slice(part, 1, j))
+                        lambda part, b: let(
+                            total(F.slice(sums, 1, b)), lambda before: F.transform(part, lambda _, j: before + total(F.slice(part, 1, j)))
                         ),
                     )
                 ),
@@ -266,8 +267,11 @@ def spans_text(spans: Column) -> Column:
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of each row with base_spans and all_spans. Texts are read once: findings are written down."""
-    found = with_findings(docs.select(*dict.fromkeys([*keep, text])), text)
-    return with_verdicts(checkpointed(found.select(*keep, "base_spans", "candidates")))
+    body, row = fresh(docs, "secret_body", "secret_row")
+    kept = [c for c in dict.fromkeys(keep) if c not in ("base_spans", "all_spans")]
+    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias(row), docs[text].alias(body))
+    found = with_verdicts(checkpointed(with_findings(rows, body).drop(body)))
+    return found.select(*[F.col(row)[c].alias(c) for c in kept], "base_spans", "all_spans")
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:

@@ -87,7 +87,7 @@ def smallest_capacity(sizes: np.ndarray, fixed: np.ndarray, least: int, shards:
     return low
 
 
-def _summary(rows: list, parent: np.ndarray | None = None) -> Summary:
+def _summary(rows: list) -> Summary:
     data = np.array([[r["low"], r["width"], r["size"], r["largest"], r["groups"]] for r in rows], np.int64).reshape(-1, 5)
     data = data[np.argsort(data[:, 0])]
     return Summary(*data.T)
@@ -160,11 +160,13 @@ def shard_of(group: Column, starts: list[int]) -> Column:
 
 
 def with_shards(docs: DataFrame, text: str = "text", ident: str = "doc_id", shards: int = SHARDS) -> DataFrame:
-    """Add size, shard (0 to shards - 1) and slot (gapless from 0 in each shard) to each row.
+    """Add size, shard (0 to shards - 1) and slot (gapless from 0 in each shard) to each row; columns with these names are replaced.
 
     Slots are counted in slices of a shard and, over the slices' counts, between them.
     """
     group, part, before, turn = fresh(docs, "shard_group", "shard_slice", "shard_before", "shard_turn")
+    body, key = fresh(docs, "shard_text", "shard_ident")
+    docs, text, ident = docs.withColumns({body: docs[text], key: docs[ident]}), body, key
     sized = docs.withColumn("size", size_of(F.col(text))).withColumn(group, group_of(F.col(text)))
     groups = checkpointed(sized.groupBy(F.col(group).alias("group")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("held")))
     starts, _ = cuts(groups, shards)
@@ -178,7 +180,7 @@ def with_shards(docs: DataFrame, text: str = "text", ident: str = "doc_id", shar
     inside = Window.partitionBy("shard", part).orderBy(F.col(ident), F.col(group))
     # Both sides meet on the window's keys, so each row is dealt out once.
     placed = dealt.join(counts, ["shard", part]).withColumn(turn, F.row_number().over(inside))
-    return placed.withColumn("slot", (F.col(before) + F.col(turn) - 1).cast("long")).drop(group, part, before, turn)
+    return placed.withColumn("slot", (F.col(before) + F.col(turn) - 1).cast("long")).drop(group, part, before, turn, body, key)
 
 
 def assignment(docs: DataFrame, text: str = "text", ident: str = "doc_id", shards: int = SHARDS) -> DataFrame:

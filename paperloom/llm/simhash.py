@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, ship_by_value
+from .common import checkpointed, fresh, joined_to_keys, ship_by_value
 
 SHINGLE = 3
 HASH_SEED = 42
 RADIUS = 2
 BLOCKS = 5
 HOT_KEY = 64
+#: Rows of one fingerprint from which on they are dealt out in joins.
+HOT_ROWS = 1 << 18
 
 ship_by_value(__name__)
 
@@ -136,17 +138,20 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint as 16 hexadecimal digits, component_id) for each row."""
+def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", hot: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, fingerprint as 16 hexadecimal digits, component_id) for each row.
+
+    Rows go back to their fingerprint's component with fingerprints of more than `hot` rows dealt out.
+    """
     marked = checkpointed(fingerprints(docs, ident, text))
-    classes = checkpointed(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
+    classes = checkpointed(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("held")))
     roots = components(links(classes.select("fingerprint")))
     rooted = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")
+        "fingerprint", "least_id", "held", F.coalesce("root", "fingerprint").alias("root")
     )
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fingerprint", "component_id")
-    return marked.join(named, "fingerprint").select(
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = checkpointed(joined_to_keys(rooted, ids, "root", "members", hot).select("fingerprint", "component_id", "held"))
+    return joined_to_keys(marked, named, "fingerprint", "held", hot).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

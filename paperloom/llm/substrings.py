@@ -6,16 +6,19 @@ with the smallest id is a repeat. Repeats go back to their documents, where over
 into maximal intervals, and the words in those intervals are removed.
 
 What moves is packed: a row is a run of windows of one bucket, 6 bytes of hash and a compressed id for
-each window, because a row for each window would take several times the input. Buckets follow the
-size of the input, so a task's share does not grow with it; within a bucket a hash that stands in
-every document is as cheap as any other, since windows are compared with the least id only.
+each window, because a row for each window would take several times the input. Before they move, a task's
+windows are combined: of each hash only the least id goes to the hash's bucket, and the other documents,
+which are repeats whatever else there is, go straight to the buckets of their ids. So a passage that
+stands in every document gives its bucket one entry for each PACK_WINDOWS windows of the corpus, not one
+for each document. Buckets follow the size of the input, so a task's share does not grow with it.
 
 Hashes are 48 bits beside the bucket, which come from a second polynomial: with B buckets of n windows
 about B * n * n / 2**49 windows of all are taken for repeats wrongly, some 7 in 10**13 at n = 300,000.
 
 Defined results: null and empty texts have no words; texts of fewer words than a window lose none;
 repeated rows share their doc_id, so they lose nothing to each other and all that any other document
-with a smaller id has; a null doc_id is larger than any other, and null ids are not smaller than null.
+with a smaller id has; a null doc_id is larger than any other (2**63 - 1 counts as null), and null ids are not
+smaller than null; extra columns are left out; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -145,9 +148,36 @@ def id_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 
 PACKED = "bucket bigint, hashes binary, ids binary"
+DEALT = f"{PACKED}, repeated boolean"
 
 
-def _emitter(width: int, buckets: int):
+def new_pairs(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of hash and id once."""
+    order = np.lexsort((hashes, ids))
+    hashes, ids = hashes[order], ids[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])
+    return hashes[new], ids[new]
+
+
+def combined(deal: np.ndarray, hashes: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT: of each window the least id, by hash; and the windows that have a smaller id here, by id."""
+    order = np.argsort(hashes | deal.astype(np.uint64) << np.uint64(48), kind="stable")
+    deal, hashes, ids = deal[order], hashes[order], ids[order]
+    first = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (deal[1:] != deal[:-1]))))
+    least = np.minimum.reduceat(ids, first)
+    late = ids > np.repeat(least, np.diff(np.append(first, len(ids))))
+    yield with_flag(grouped(deal[first], hashes[first], least), False)
+    if late.any():
+        again, owners = new_pairs(hashes[late], ids[late])
+        yield with_flag(grouped(id_bucket(owners, buckets), again, owners), True)
+
+
+def with_flag(rows: pa.RecordBatch, repeated: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array([repeated] * rows.num_rows, pa.bool_())], names=[*rows.schema.names, "repeated"])
+
+
+def _emitter(width: int, buckets: int, most: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         waiting = 0
@@ -157,17 +187,21 @@ def _emitter(width: int, buckets: int):
                 owner = np.repeat(np.asarray(pc.fill_null(part.column(0), NO_ID)), np.maximum(counts - width + 1, 0))
                 held.append((deal, main, owner))
                 waiting += len(main)
-                if waiting >= PACK_WINDOWS:
-                    yield grouped(*(np.concatenate(x) for x in zip(*held)))
+                if waiting >= most:
+                    yield from combined(*(np.concatenate(x) for x in zip(*held)), buckets)
                     held, waiting = [], 0
         if waiting:
-            yield grouped(*(np.concatenate(x) for x in zip(*held)))
+            yield from combined(*(np.concatenate(x) for x in zip(*held)), buckets)
 
     return emit
 
 
 def _finder(buckets: int):
     def repeats(table: pa.Table) -> pa.Table:
+        passing = table.filter(table.column("repeated")).drop_columns("repeated")  # of this bucket of ids already
+        table = table.filter(pc.invert(table.column("repeated")))
+        if not table.num_rows:
+            return passing
         parts = [unpack(h, i) for h, i in zip(table.column("hashes").to_pylist(), table.column("ids").to_pylist())]
         hashes, ids = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(hashes, kind="stable")
@@ -175,12 +209,9 @@ def _finder(buckets: int):
         first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
         least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids))))
         late = ids > least
-        hashes, ids = hashes[late], ids[late]
-        order = np.lexsort((hashes, ids))
-        hashes, ids = hashes[order], ids[order]
-        new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, bool)
-        hashes, ids = hashes[new], ids[new]
-        return pa.Table.from_batches([grouped(id_bucket(ids, buckets), hashes, ids)])
+        hashes, ids = new_pairs(hashes[late], ids[late])
+        found = pa.Table.from_batches([grouped(id_bucket(ids, buckets), hashes, ids)])
+        return pa.concat_tables([found, passing.cast(found.schema)])
 
     return repeats
 
@@ -240,13 +271,13 @@ def _remover(width: int, with_text: bool):
 
 
 def without_repeats(
-    docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WINDOW, with_text: bool = True
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WINDOW, with_text: bool = True, most: int = PACK_WINDOWS
 ) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, kept_sha256) of each row; kept is null unless `with_text`."""
+    """(doc_id, n_words, n_removed, kept, kept_sha256) of each row; kept is null unless `with_text`. No result depends on `most`."""
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, next_power_of_two(-(-total // BUCKET_BYTES)))
-    dealt = rows.mapInArrow(_emitter(width, buckets), PACKED)
+    dealt = rows.mapInArrow(_emitter(width, buckets, most), DEALT)
     found = dealt.groupBy("bucket").applyInArrow(_finder(buckets), PACKED)
     marks = found.groupBy("bucket")
     known = F.coalesce("doc_id", F.lit(NO_ID))

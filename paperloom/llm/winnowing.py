@@ -6,8 +6,9 @@ kept once, with its position. Any passage of `K + W - 1` words that two texts sh
 least one common fingerprint.
 
 Defined results: null is an empty text; an empty text has an empty fingerprint; a text of fewer than
-`K` words is one k-gram of all its words; a text of fewer than `W` k-grams is one window. Equal texts
-have equal fingerprints, whatever other columns the table has.
+`K` words is one k-gram of all its words; a text of fewer than `W` k-grams is one window. Texts of any
+length keep all their positions. Equal texts and repeated rows have equal fingerprints, whatever other
+columns the table has; an empty table gives an empty one. with_fingerprint() replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ W = 8
 #: A prime below 2**41 and a base below 2**21: hash * base + word fits a long.
 PRIME = 2_199_023_255_531
 BASE = 1_299_709
-#: A selected k-gram is one long: hash * SPAN + (SPAN - 1 - position mod SPAN), so that the least
-#: value of a window is its least hash and, among equals, the rightmost.
+#: Inside a stretch of SPAN k-grams one long is hash * SPAN + (SPAN - 1 - place), so that the least value of
+#: a window is its least hash and, among equals, the rightmost. Longer texts go by stretches that overlap.
 SPAN = 1 << 21
 
 
@@ -59,33 +60,38 @@ def _minima(values: Column, w: int) -> Column:
     )
 
 
-def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
-    """array<long>: the selected k-grams of a text in order of position, hash and position in one value."""
+def _places(grams: Column, w: int, span: int) -> Column:
+    """Positions of the selected k-grams, in order, each once."""
+
+    def chosen(part: Column, start: Column | int) -> Column:
+        packed = F.transform(part, lambda g, i: g * span + (span - 1 - i))
+        return F.transform(F.array_distinct(_minima(packed, w)), lambda v: start + ((span - 1) - v % span))
+
+    step = span // 2
+    stretches = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(grams) - w) / step).cast("int")),
+        lambda c: chosen(F.slice(grams, c * step + 1, step + w - 1), c.cast("long") * step),
+    )
+    return F.when(F.size(grams) <= span, chosen(grams, F.lit(0).cast("long"))).otherwise(F.array_distinct(F.flatten(stretches)))
+
+
+def fingerprint(text: Column, k: int = K, w: int = W, span: int = SPAN) -> Column:
+    """array<struct<hash, position>>: the selected k-grams of a text in order of position. No result depends on `span` (over 2 * w)."""
     hashes = F.transform(words_of(text), lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
-    grams = let(hashes, lambda h: _grams(h, k))
-    placed = F.transform(grams, lambda g, i: g * SPAN + (SPAN - 1 - i % SPAN))
-    return F.array_distinct(_minima(placed, w))
+    return let(
+        let(hashes, lambda h: _grams(h, k)),
+        lambda g: F.transform(_places(g, w, span), lambda p: F.struct(F.get(g, p.cast("int")).alias("hash"), p.alias("position"))),
+    )
 
 
 def hashes_of(selected: Column) -> Column:
     """The distinct k-gram hashes of a fingerprint, without positions."""
-    return F.array_distinct(F.transform(selected, lambda v: F.shiftright(v, 21)))
-
-
-def positions_of(selected: Column) -> Column:
-    """Word positions (from 0) of the selected k-grams, modulo SPAN."""
-    return F.transform(selected, lambda v: (SPAN - 1) - v % SPAN)
+    return F.array_distinct(F.transform(selected, lambda s: s["hash"]))
 
 
 def as_string(selected: Column) -> Column:
     """`hash@position` of each selected k-gram, comma-joined; hashes in hexadecimal."""
-    return F.array_join(
-        F.transform(
-            selected,
-            lambda v: F.concat(F.lower(F.hex(F.shiftright(v, 21))), F.lit("@"), ((SPAN - 1) - v % SPAN).cast("string")),
-        ),
-        ",",
-    )
+    return F.array_join(F.transform(selected, lambda s: F.concat(F.lower(F.hex(s["hash"])), F.lit("@"), s["position"].cast("string"))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -97,14 +103,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Add the fingerprint of `text` as array<struct<hash, position>>; other columns pass through."""
-    selected = fingerprint(F.col(text))
-    return docs.withColumn(
-        out,
-        F.transform(
-            selected,
-            lambda v: F.struct(F.shiftright(v, 21).alias("hash"), ((SPAN - 1) - v % SPAN).alias("position")),
-        ),
-    )
+    return docs.withColumn(out, fingerprint(F.col(text)))
 
 
 def following(ids: DataFrame, key: str, out: str) -> DataFrame:
@@ -148,8 +147,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     )
     donors = rows.join(links, rows["doc_id"].eqNullSafe(links["taken_id"]))
     if ids.where("copies > 1").limit(1).count():
-        first = Window.partitionBy("owner_id").orderBy(F.col("text").asc_nulls_first())
-        donors = donors.withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
+        least = donors.groupBy("owner_id").agg(F.min(F.struct("text")).alias("least"), F.first("need").alias("need"))
+        donors = least.select("owner_id", "need", "least.text")
     starts = donors.select(
         "owner_id",
         F.expr("left(text, need)").alias("start"),

@@ -88,6 +88,8 @@ def test_keep_one_leaves_one_row_of_each_component(spark):
     ids = component_ids((r[0], fingerprint(r[1])) for r in rows(n=120))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(ids.values()))
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    usual = sorted(map(str, simhash.near_duplicates(docs).collect()))
+    assert sorted(map(str, simhash.near_duplicates(docs, hot=2).collect())) == usual  # hot fingerprints dealt out
     odd = spark.createDataFrame([(None, "a b c d", "e", "s", 1), (None, None, "e", "s", 1), (4, "a b c d", "e", "s", 1)], SCHEMA)
     found = {(r["doc_id"], r["fingerprint"] == "0" * 16): r["component_id"] for r in simhash.near_duplicates(odd).collect()}
     assert found == {(None, False): 4, (4, False): 4, (None, True): None}
@@ -126,6 +128,20 @@ def test_substrings_equal_their_definition(spark, width):
     assert sorted((tuple(r) for r in got.collect()), key=str) == without_repeats(data, width)
 
 
+def test_a_window_in_every_document_is_combined_before_it_moves(spark):
+    rng = random.Random(6)
+    common = sentence(rng, 60)
+    data = [(i, f"{sentence(rng, 20)} {common} {sentence(rng, 20)}") for i in range(500)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = without_repeats(data, 50)
+    for most in (1, 700, substrings.PACK_WINDOWS):
+        got = substrings.without_repeats(docs, most=most).collect()
+        assert sorted((tuple(r) for r in got), key=str) == want
+    dealt = docs.repartition(1).mapInArrow(substrings._emitter(50, 512, substrings.PACK_WINDOWS), substrings.DEALT).toPandas()
+    hashes = dealt.loc[~dealt["repeated"], "hashes"].map(len).sum() // 6
+    assert hashes == 500 * 51 - 499 * 11  # the eleven common windows once
+
+
 def test_substrings_take_an_empty_table(spark):
     assert substrings.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -204,8 +220,8 @@ def test_licences_equal_their_definition(spark):
 
 def test_licence_scores_need_no_anchor(spark):
     texts = [
-        "Redistribution and use in source with or without modification",  # 5 of 20 words in order
-        "permission is granted",  # 2 of 19
+        "Redistribution and use in source with or without modification",  # five words in order
+        "permission is granted",  # two words
         "copyright holders keep all",
         "you may copy this under the moon",
         "this work is free",  # optional and replaceable words only
@@ -217,6 +233,91 @@ def test_licence_scores_need_no_anchor(spark):
     assert [got[i] > 0 for i in range(5)] == [True, True, True, True, False]
 
 
+def parsed(template):
+    """A template as nested lists: words, ("opt", [...]) and ("var", pattern, most)."""
+    stack = [[]]
+    for mark in re.findall(r"<<[^>]*>>|[^<]+", template):
+        if mark == "<<beginOptional>>":
+            stack.append([])
+        elif mark == "<<endOptional>>":
+            inner = stack.pop()
+            stack[-1].append(("opt", inner))
+        elif mark.startswith("<<var"):
+            given = dict(x.split("=", 1) for x in mark[2:-2].split(";")[1:])
+            stack[-1].append(("var", re.compile(given["match"]), int(given["most"])))
+        else:
+            stack[-1] += licenses.WORD.findall(mark.lower())
+    return stack[0]
+
+
+def reach(items, words, at, met, best):
+    """Every (place, mandatory words met) after `items` from a place, by backtracking; `best` notes the most met anywhere."""
+    best[0] = max(best[0], met if met >= 0 else 0)
+    if not items:
+        yield at, met
+        return
+    head, rest = items[0], items[1:]
+    if isinstance(head, str):
+        if at < len(words) and words[at] == head:
+            yield from reach(rest, words, at + 1, met + 1, best)
+    elif head[0] == "opt":
+        yield from reach(rest, words, at, met, best)
+        for after, _ in reach(head[1], words, at, -10**6, best):
+            yield from reach(rest, words, after, met, best)
+    else:
+        for n in range(1, head[2] + 1):
+            if at + n > len(words) or not head[1].fullmatch(words[at + n - 1]):
+                break
+            yield from reach(rest, words, at + n, met, best)
+
+
+def mandatory(items):
+    return sum(isinstance(x, str) for x in items)
+
+
+def filled(rng, items):
+    out = []
+    for x in items:
+        if isinstance(x, str):
+            out.append(x)
+        elif x[0] == "opt":
+            out += filled(rng, x[1]) if rng.random() < 0.5 else []
+        else:
+            out += [rng.choice(["7", "9"]) if "0-9" in x[1].pattern else rng.choice(["acme", "authors"]) for _ in range(rng.randint(1, x[2]))]
+    return out
+
+
+def test_licences_equal_a_backtracking_matcher(spark):
+    rng = random.Random(12)
+    templates = {label: parsed(t) for label, t in licenses.TEMPLATES.items()}
+    texts = []
+    for items in templates.values():
+        for i in range(6):
+            own = filled(rng, items)
+            if i % 2:  # one word lost, changed or put in between
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = [] if i == 3 and len(own) > 1 else ["zebra"]
+            texts.append(" ".join(["so", "under"] * rng.randint(0, 2) + own + ["end"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = 0
+    for r in licenses.scan(docs).collect():
+        words_ = licenses.WORD.findall(texts[r["doc_id"]])
+        labels, share = set(), 0.0
+        for label, items in templates.items():
+            best = [0]
+            for at in range(len(words_)):
+                if any(True for _ in reach(items, words_, at, 0, best)):
+                    labels.add(label)
+            share = max(share, best[0] / mandatory(items))
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert set(filter(None, r["labels"].split(","))) == labels | base, texts[r["doc_id"]]
+        assert r["score"] == (1.0 if labels else pytest.approx(max(share / 2, 0.5 if base else 0.0)))
+        whole += any(x.endswith(("-text", "-header")) for x in labels)
+    assert whole >= 15
+    lost = texts[6 * list(templates).index("mit-text")].replace("as is", "")
+    assert "mit-text" not in licenses.scan(spark.createDataFrame([(1, lost)], "doc_id long, text string")).first()["labels"]
+
+
 def test_template_regions():
     auto = licenses.compiled("t", "a <<beginOptional>>b c<<endOptional>> d <<var;match=[0-9]+;most=2>> e")
 
