@@ -32,7 +32,10 @@ def sums_before(lengths: Column, block: int = 64) -> Column:
                 F.transform(p, total),
                 lambda s: F.flatten(
                     F.transform(
-                        p, lambda part, b: F.transform(part, lambda _, j: total(F.slice(s, 1, b)) + total(F.slice(part, 1, j)))
+                        p,
+                        lambda part, b: let(
+                            total(F.slice(s, 1, b)), lambda before: F.transform(part, lambda _, j: before + total(F.slice(part, 1, j)))
+                        ),
                     )
                 ),
             ),

@@ -56,8 +56,8 @@ def language_hint(text: Column, sample: int | None = None) -> Column:
     cyrillic, latin = _count(part, CYRILLIC), _count(part, "[A-Za-z]")
     return (
         F.when(cyrillic + latin == 0, "")
-        .when(cyrillic >= 3 * latin, "ru")
-        .when(latin >= 3 * cyrillic, "en")
+        .when(cyrillic > 1.5 * latin, "ru")
+        .when(latin > 1.5 * cyrillic, "en")
         .otherwise("mixed")
     )
 

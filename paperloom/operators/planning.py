@@ -33,20 +33,22 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame, folder: str = "dir"
     """
     rows = plan.withColumn("_fold", fold(F.col(proposed)))
     family = Window.partitionBy(folder, "_fold").orderBy(order)
-    rows = rows.withColumn("_k", F.row_number().over(family)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(folder, "_fold")))
+    rows = rows.withColumn("_k", F.row_number().over(family))
     # Only existing names that some family could want: the proposal itself or a counted form of it.
     bare = lambda c: F.regexp_replace(fold(c), r"_\d{2,}(?=\.[^.]*$|$)", "")
     held = existing.select(F.col(folder), bare(F.col(source)).alias("_fold"), fold(F.col(source)).alias("_held"))
     held = held.unionByName(existing.select(F.col(folder), fold(F.col(source)).alias("_fold"), fold(F.col(source)).alias("_held"))).distinct()
-    taken = held.groupBy(folder, "_fold").agg(F.collect_set("_held").alias("_taken"))
-    rows = rows.join(taken, [folder, "_fold"], "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<string>")))
+    # Taken counters of a family in order; the k-th free number is k and as many more as taken ones stand before it.
+    counter = F.when(F.col("_held") == F.col("_fold"), F.lit(1)).otherwise(F.regexp_extract("_held", r"_(\d{2,9})(?=\.[^.]*$|$)", 1).try_cast("int"))
+    held = held.withColumn("_at", counter).where((F.col("_at") >= 1) & (with_suffix(F.col("_fold"), F.col("_at")) == F.col("_held")))
+    taken = held.groupBy(folder, "_fold").agg(F.sort_array(F.collect_set("_at")).alias("_taken"), F.collect_set("_held").alias("_names"))
+    rows = rows.join(taken, [folder, "_fold"], "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
     own = fold(F.col(source))
-    forms = F.transform(F.sequence(F.lit(1), F.col("_n").cast("int") + F.size("_taken") + 1), lambda i: with_suffix(F.col(proposed), i))
-    free = F.filter(forms, lambda x: ~F.array_contains(F.col("_taken"), fold(x)) | (fold(x) == own))
-    rows = rows.withColumn("target", F.get(free, F.col("_k") - 1))
+    before = F.size(F.filter("_taken", lambda t, i: t - i <= F.col("_k")))
+    rows = rows.withColumn("target", with_suffix(F.col(proposed), F.col("_k") + before))
     # A folder whose families meet, or where a row's own name changes what is free for the next, is replayed in order.
     made = rows.groupBy(folder, F.lower("target").alias("_t")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(folder)
-    odd = rows.where(F.array_contains(F.col("_taken"), own)).select(folder)
+    odd = rows.where(F.array_contains(F.col("_names"), own)).select(folder)
     replay = made.unionByName(odd).distinct()
     easy = rows.join(replay, folder, "left_anti").select(*plan.columns, "target")
     hard = rows.join(replay, folder, "left_semi").select(*plan.columns)
@@ -164,15 +166,55 @@ def incomplete_sessions(records: DataFrame) -> DataFrame:
 
 
 def override(plan: DataFrame, chosen: DataFrame, folder: str = "dir") -> DataFrame:
-    """Apply chosen names (name, chosen) to a plan: refused where the extension differs or the name is taken in the folder."""
-    named = plan.join(chosen, "name", "left")
+    """Apply chosen names (folder, name, chosen) to a plan, each to its own file.
+
+    Refused where the extension differs, or where the name is taken in the folder: by another row's target, or by
+    another choice (the first name in order keeps it).
+    """
     ext = lambda c: F.lower(F.regexp_extract(c, r"(\.[^.]*)$", 1))
+    wanted = chosen.select(folder, "name", "chosen", F.lower("chosen").alias("_fold"))
+    wanted = wanted.withColumn("_first", F.min("name").over(Window.partitionBy(folder, "_fold")) == F.col("name"))
     others = plan.select(F.col(folder), F.lower("target").alias("_fold"), F.col("name").alias("_other"))
-    wanted = named.where(F.col("chosen").isNotNull()).select(folder, "name", F.lower("chosen").alias("_fold"))
     taken = wanted.join(others, [folder, "_fold"]).where("_other <> name").select(folder, "name").distinct().withColumn("_taken", F.lit(True))
-    told = named.join(taken, [folder, "name"], "left")
-    result = F.when(F.col("chosen").isNull(), "unchanged").when(ext(F.col("chosen")) != ext(F.col("name")), "extension").when(F.col("_taken"), "taken").otherwise("manual")
-    return told.withColumn("override", result).withColumn("target", F.when(F.col("override") == "manual", F.col("chosen")).otherwise(F.col("target"))).drop("_taken", "chosen")
+    told = plan.join(wanted.drop("_fold"), [folder, "name"], "left").join(taken, [folder, "name"], "left")
+    result = (
+        F.when(F.col("chosen").isNull(), "unchanged").when(ext(F.col("chosen")) != ext(F.col("name")), "extension")
+        .when(F.col("_taken") | ~F.col("_first"), "taken").otherwise("manual")
+    )
+    told = told.withColumn("override", result).withColumn("target", F.when(F.col("override") == "manual", F.col("chosen")).otherwise(F.col("target")))
+    return told.select(*plan.columns, "override")
+
+
+def upsert(plan: DataFrame, fresh: DataFrame, folder: str = "dir", key: str = "name") -> DataFrame:
+    """The plan with the rows of `fresh` in place of its own (by folder and key); rows that the plan lacks are left out.
+
+    A fresh row whose target another row of the folder has is not selected and says so. Add updated.
+    """
+    hit = fresh.join(plan.select(folder, key), [folder, key], "left_semi").select(*plan.columns)
+    others = plan.select(folder, F.lower("target").alias("_fold"), F.col(key).alias("_other"))
+    taken = hit.select(folder, key, F.lower("target").alias("_fold")).join(others, [folder, "_fold"]).where(f"_other <> {key}")
+    taken = taken.select(folder, key).distinct().withColumn("_taken", F.lit(True))
+    told = hit.join(taken, [folder, key], "left").withColumns(
+        {
+            "selected": F.col("selected") & F.col("_taken").isNull(),
+            "status": F.when(F.col("_taken"), "NAME_COLLISION_RESOLVED").otherwise(F.col("status")),
+        }
+    )
+    kept = plan.join(hit.select(folder, key), [folder, key], "left_anti").select(*plan.columns, F.lit(False).alias("updated"))
+    return kept.unionByName(told.select(*plan.columns, F.lit(True).alias("updated")))
+
+
+def metadata_preserved(size_before: Column, size_after: Column, time_before: Column, time_after: Column) -> Column:
+    """Equal sizes and times within a second; what is unknown counts as preserved."""
+    same_size = F.coalesce(size_before == size_after, F.lit(True))
+    near = F.abs(F.unix_micros(time_before) - F.unix_micros(time_after)) <= 1_000_000
+    return same_size & F.coalesce(near, F.lit(True))
+
+
+def merge_histories(sources: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each key of several histories: that of the source with the highest `order`."""
+    best = F.max_by(F.struct(*[c for c in sources.columns if c != key]), F.col(order)).alias("_best")
+    return sources.groupBy(key).agg(best).select(key, "_best.*").select(*sources.columns)
 
 
 def apply_order(plan: DataFrame, session: str, kind: str, path: str) -> DataFrame:

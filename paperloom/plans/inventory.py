@@ -13,10 +13,7 @@ from .tables import table
 
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha256"))
-    first = docs.groupBy("sha256").agg(F.min("doc_id").alias("original_id"), F.count(F.lit(1)).alias("n_copies"))
-    return docs.join(first, "sha256").select(
-        "doc_id", "source", "sha256", "original_id", "n_copies", (F.col("doc_id") != F.col("original_id")).alias("is_copy")
-    )
+    return files.exact_copies(docs, "sha256", "doc_id")
 
 
 def inventory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +43,14 @@ def ignored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), sample=quality.SAMPLE)
+    told = quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rounded = [F.round(c, 4).alias(c) for c in ("score", "latin_ratio", "replacement_ratio", "control_ratio", "mojibake_ratio", "other_script_ratio")]
     return told.select("doc_id", *rounded, F.array_join("statuses", ",").alias("statuses"))
 
 
 def language_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", quality.language_hint(F.col("text"), quality.SAMPLE).alias("hint"))
+    return docs.select("doc_id", quality.language_hint(F.col("text")).alias("hint"))
 
 
 def mixed_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,14 +97,15 @@ def page_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = quality.with_quality(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), sample=quality.SAMPLE)
+    told = quality.with_quality(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     rolled = series.page_quality(told, "conv_id", "text", "latin_ratio")
     return rolled.select("conv_id", "n_pages", "n_chars", F.round("quality", 4).alias("quality"), F.round("chars_per_page", 4).alias("chars_per_page"), "needs_ocr")
 
 
 def batch_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talks = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).alias("root"), "conv_id")
-    return series.batch_segments(talks, "root", "conv_id", 12)
+    """Conversations as runs of pages; a folder for each fifty of them."""
+    talks = table(spark, sf_dir, "conversations").select((F.col("conv_id") / 50).cast("long").alias("root"), "conv_id")
+    return series.batch_segments(talks, "root", "conv_id", 4, 2)
 
 
 def listing_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +146,7 @@ ORACLE_SQL = {
         SELECT p_partkey, p_name || '.tmp' AS name FROM part
         WHERE NOT (lower(p_name) LIKE 'red %' OR lower(p_name) LIKE '%widget' OR lower(p_name) = 'small ring')""",
     "text_quality": f"""
-        WITH p AS (SELECT doc_id, coalesce(left(text, 20000), '') AS p FROM documents),
+        WITH p AS (SELECT doc_id, coalesce(text, '') AS p FROM documents),
         c AS (SELECT doc_id, length(p) AS n, {_COUNTS} FROM p),
         r AS (SELECT doc_id, n, latin, letters - latin AS other, CASE WHEN n > 0 THEN latin / n ELSE 0 END AS latin_ratio,
                      CASE WHEN n > 0 THEN repl / n ELSE 0 END AS replacement_ratio, CASE WHEN n > 0 THEN ctl / n ELSE 0 END AS control_ratio,
@@ -164,8 +162,8 @@ ORACLE_SQL = {
                          CASE WHEN mojibake_ratio > 0.02 THEN 'MOJIBAKE_SUSPECTED' END) AS statuses
         FROM s""",
     "language_hint": """
-        WITH c AS (SELECT doc_id, len(regexp_extract_all(left(text, 20000), '[A-Za-z]')) AS latin,
-                          len(regexp_extract_all(left(text, 20000), '\\p{Cyrillic}')) AS cyr FROM documents)
+        WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS latin,
+                          len(regexp_extract_all(text, '\\p{Cyrillic}')) AS cyr FROM documents)
         SELECT doc_id, CASE WHEN latin + cyr = 0 THEN '' WHEN cyr >= 3 * latin THEN 'ru' WHEN latin >= 3 * cyr THEN 'en' ELSE 'mixed' END AS hint FROM c""",
     "mixed_alphabet": "SELECT c_custkey, 'Сustomer' AS words FROM customer WHERE c_custkey % 50 = 0",
     "page_runs": """
@@ -186,15 +184,17 @@ ORACLE_SQL = {
                row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS d FROM conversations) WHERE u <= 2 OR d <= 1""",
     "page_rollup": """
         WITH q AS (SELECT conv_id, coalesce(length(text), 0) AS n,
-                          CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(left(text, 20000), '[A-Za-z]')) / length(left(text, 20000)) END AS s FROM conversations)
+                          CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(text, '[A-Za-z]')) / length(text) END AS s FROM conversations)
         SELECT conv_id, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_chars, round(avg(s), 4) AS quality,
                round(sum(n) / count(*), 4) AS chars_per_page, sum(n) / count(*) < 24 OR avg(s) < 0.55 AS needs_ocr FROM q GROUP BY conv_id""",
     "batch_segments": """
-        WITH RECURSIVE r AS (SELECT conv_id % 5 AS root, conv_id, count(*) AS n, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id) AS k FROM conversations GROUP BY conv_id),
-        f AS (SELECT root, conv_id, k, CASE WHEN n > 12 THEN 1 ELSE 0 END AS batch, n AS held FROM r WHERE k = 1
-              UNION ALL SELECT r.root, r.conv_id, r.k, CASE WHEN held + n > 12 THEN batch + 1 ELSE batch END, CASE WHEN held + n > 12 THEN n ELSE held + n END
+        WITH RECURSIVE r AS (SELECT CAST(floor(conv_id / 50) AS BIGINT) AS root, conv_id, row_number() OVER (PARTITION BY CAST(floor(conv_id / 50) AS BIGINT) ORDER BY conv_id, turn) AS k FROM conversations),
+        f AS (SELECT root, conv_id, k, CAST(0 AS BIGINT) AS batch, 1 AS held FROM r WHERE k = 1
+              UNION ALL SELECT r.root, r.conv_id, r.k,
+                CASE WHEN (held >= 4 AND r.conv_id <> f.conv_id) OR held >= 8 THEN batch + 1 ELSE batch END,
+                CASE WHEN (held >= 4 AND r.conv_id <> f.conv_id) OR held >= 8 THEN 1 ELSE held + 1 END
               FROM f JOIN r ON r.root = f.root AND r.k = f.k + 1)
-        SELECT root, conv_id, batch FROM f""",
+        SELECT root, conv_id, batch, count(*) AS n_files FROM f GROUP BY ALL""",
     "listing_topn": """
         SELECT folder, p_partkey, name, place, hidden FROM (SELECT p_brand AS folder, p_partkey, p_name AS name,
             row_number() OVER (PARTITION BY p_brand ORDER BY lower(p_name), p_partkey) AS place, greatest(0, count(*) OVER (PARTITION BY p_brand) - 5) AS hidden FROM part) WHERE place <= 5""",

@@ -149,7 +149,7 @@ def incomplete_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = _plan(spark, sf_dir).withColumn("target", F.concat(F.lit("t"), F.col("ord").cast("string"), F.lit(".pdf")))
     wish = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("T"), (F.col("ord") + 1).cast("string"), F.lit(".pdf"))).when(F.col("ord") % 3 == 1, F.concat(F.lit("own"), F.col("ord").cast("string"), F.lit(".PDF"))).otherwise("x.doc")
-    chosen = plan.where("ord % 4 = 0").select("name", wish.alias("chosen"))
+    chosen = plan.where("ord % 4 = 0").select("dir", "name", wish.alias("chosen"))
     return planning.override(plan, chosen).select(F.col("ord"), "target", "override")
 
 

@@ -46,6 +46,13 @@ def changed_within(df: DataFrame, mtime: str, days: int, now: str) -> DataFrame:
     return df.where(F.col(mtime).isNull() | (F.col(mtime) >= oldest))
 
 
+def exact_copies(df: DataFrame, digest: str, ident: str) -> DataFrame:
+    """Add original_id (the least id of the content), n_copies and is_copy; rows without a digest are copies of each other."""
+    first = df.groupBy(F.col(digest).alias("_digest")).agg(F.min(ident).alias("original_id"), F.count(F.lit(1)).alias("n_copies"))
+    joined = df.join(first, F.col(digest).eqNullSafe(F.col("_digest"))).drop("_digest")
+    return joined.withColumn("is_copy", F.col(ident) != F.col("original_id"))
+
+
 def extension_summary(df: DataFrame, ext: str, top: int = 6) -> DataFrame:
     """Files by extension: the `top` most frequent, ties by name, and one row `...` for the rest."""
     counts = df.groupBy(ext).agg(F.count(F.lit(1)).alias("n"))
