@@ -75,3 +75,21 @@ def fix_mojibake(df: DataFrame, text: str, gain: float = 0.2) -> DataFrame:
     better = F.col("_new").isNotNull() & (F.col("_after") > F.col("_score") + gain)
     changed = again.withColumn(text, F.when(better, F.col("_new")).otherwise(F.col(text))).select(*df.columns, better.alias("fixed"))
     return good.unionByName(changed)
+
+
+def finalized(df: DataFrame, text: str, most: int | None = None) -> DataFrame:
+    """Bring a text into composed form, cut it to `most` characters if asked to, and add truncated, score, hint and statuses.
+
+    The reference cuts at 400,000 characters; here whole texts are the default. Null is an empty text.
+    """
+    whole = nfc(F.coalesce(F.col(text), F.lit("")))
+    told = df.withColumn(text, whole).withColumn("truncated", F.lit(False) if most is None else F.length(text) > most)
+    if most is not None:
+        told = told.withColumn(text, F.left(text, F.lit(most)))
+    scored = quality.with_quality(told, text).select(*told.columns, "score", F.col("statuses").alias("_found"))
+    more = F.array(
+        F.when(F.col("truncated"), F.lit("LIMIT_EXCEEDED")),
+        F.when(F.size(quality.mixed_words(F.col(text), 5)) > 0, F.lit("MIXED_ALPHABET_SUSPECTED")),
+        F.when(~F.col(text).rlike(r"(?U)\S"), F.lit("EMPTY_DOCUMENT")),
+    )
+    return scored.withColumns({"hint": quality.language_hint(F.col(text)), "statuses": F.array_union("_found", F.array_compact(more))}).drop("_found")

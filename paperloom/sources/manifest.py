@@ -37,6 +37,12 @@ def save_plan(plan: DataFrame, folder: str, version: int) -> None:
     plan.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(folder)
 
 
+def forensic(plan: DataFrame, facts: DataFrame, folder: str) -> None:
+    """A report without any change: the facts and the plan as tables side by side. A report written again replaces its own."""
+    facts.write.mode("overwrite").parquet(f"{folder}/facts")
+    plan.write.mode("overwrite").parquet(f"{folder}/plan")
+
+
 def fingerprint(config: Column) -> Column:
     """Digest of a settings struct or map."""
     return F.sha2(F.to_json(config), 256)

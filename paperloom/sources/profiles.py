@@ -20,17 +20,21 @@ def _plain(html: Column) -> Column:
     return F.trim(F.regexp_replace(decoded(F.regexp_replace(html, "<[^>]*>", " ")), r"\s+", " "))
 
 
+def visible_text(html: Column) -> Column:
+    """What a page shows: no scripts, styles, head or comments."""
+    visible = F.regexp_replace(html, r"(?is)<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>", " ")
+    return _plain(F.regexp_replace(visible, r"(?s)<!--.*?-->", " "))
+
+
 def html_profile(df: DataFrame, html: str = "html", headings: int = 20) -> DataFrame:
     """Add title, headings (h1 to h3), visible text and charset. Scripts, styles and the head are not visible."""
     body = F.coalesce(F.col(html), F.lit(""))
-    visible = F.regexp_replace(body, r"(?is)<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>", " ")
-    visible = F.regexp_replace(visible, r"(?s)<!--.*?-->", " ")
     heads = F.regexp_extract_all(body, F.lit(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>"), F.lit(1))
     return df.withColumns(
         {
             "title": _plain(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)),
             "headings": F.slice(F.filter(F.transform(heads, _plain), lambda h: h != ""), 1, headings),
-            "visible": _plain(visible),
+            "visible": visible_text(body),
             "charset": F.lower(F.regexp_extract(body, r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", 1)),
         }
     )
@@ -56,11 +60,15 @@ def json_profile(df: DataFrame, json: str, keys: int = 50) -> DataFrame:
     return told.withColumns({"keys": F.coalesce(names, F.array().cast("array<string>")), "n_items": F.when(F.col("root") == "array", F.json_array_length(F.col(json))).when(F.col("root") == "object", F.size(names)).otherwise(0)})
 
 
+def xml_texts(xml: Column) -> Column:
+    """array<string>: the text nodes that are not blank, in order."""
+    nodes = F.regexp_extract_all(F.regexp_replace(xml, r"(?s)<!--.*?-->", ""), F.lit(r">([^<]+)<"), F.lit(1))
+    return F.filter(F.transform(nodes, lambda t: decoded(F.trim(t))), lambda t: t != "")
+
+
 def xml_profile(df: DataFrame, xml: str, nodes: int = 4000) -> DataFrame:
     """Add root tag and texts: the first text nodes that are not blank."""
-    body = F.col(xml)
-    texts = F.filter(F.transform(F.regexp_extract_all(F.regexp_replace(body, r"(?s)<!--.*?-->", ""), F.lit(r">([^<]+)<"), F.lit(1)), lambda t: decoded(F.trim(t))), lambda t: t != "")
-    return df.withColumns({"root": F.regexp_extract(body, r"<([A-Za-z][\w:.-]*)", 1), "texts": F.slice(texts, 1, nodes)})
+    return df.withColumns({"root": F.regexp_extract(xml, r"<([A-Za-z][\w:.-]*)", 1), "texts": F.slice(xml_texts(F.col(xml)), 1, nodes)})
 
 
 def track_points(df: DataFrame, ident: str, xml: str) -> DataFrame:
@@ -120,7 +128,6 @@ def safe_metadata(values: Column) -> Column:
 
 
 
-
 def json_fragments(json: Column, most: int = 200, longest: int = 200) -> Column:
     """`key: value` of the short leaves of a JSON text, at any depth, in order."""
     leaf = r'"([^"\\]{1,80})"\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9.eE+-]+|true|false)'
