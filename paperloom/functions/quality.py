@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matching import let
+
 #: Characters that the reference looks at; the operators take whole texts unless a sample is asked for.
 SAMPLE = 20_000
 #: Letter frequencies of Russian (yo counted as ye).
@@ -28,15 +30,17 @@ def _count(text: Column, pattern: str) -> Column:
 
 def frequency_score(text: Column) -> Column:
     """struct<cosine, letters>: likeness of the letters to LETTERS; 1 for fewer than 20 letters."""
-    low = F.lower(text)
-    counts = [(f, _count(low, "[её]" if c == "е" else c).cast("double")) for c, f in LETTERS.items()]
-    total = sum((n for _, n in counts), F.lit(0.0))
-    dot = sum((n * f for f, n in counts), F.lit(0.0))
-    norm = F.sqrt(sum((n * n for _, n in counts), F.lit(0.0)))
-    own = sum(f * f for f in LETTERS.values()) ** 0.5
-    return F.struct(
-        F.when(total < 20, F.lit(1.0)).otherwise(dot / (norm * own)).alias("cosine"), total.cast("int").alias("letters")
-    )
+
+    def told(letters: Column) -> Column:
+        size = F.length(letters)
+        counts = [(f, (size - F.length(F.translate(letters, "её" if c == "е" else c, ""))).cast("double")) for c, f in LETTERS.items()]
+        dot = sum((n * f for f, n in counts), F.lit(0.0))
+        norm = F.sqrt(sum((n * n for _, n in counts), F.lit(0.0)))
+        own = sum(f * f for f in LETTERS.values()) ** 0.5
+        return F.struct(F.when(size < 20, F.lit(1.0)).otherwise(dot / (norm * own)).alias("cosine"), size.alias("letters"))
+
+    # Only Russian letters are left to count in; of most texts in other scripts that is nothing.
+    return let(F.regexp_replace(F.lower(text), "[^а-яё]+", ""), told)
 
 
 def mixed_words(text: Column, limit: int = 20) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import files, profiles
@@ -76,9 +76,10 @@ def tag_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cell_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as the cells of a workbook for each customer: a row for each order, two columns."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book"), F.lit("s").alias("sheet"), F.col("o_orderkey").cast("int").alias("row"), "o_orderpriority", "o_orderstatus")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book"), F.lit("s").alias("sheet"), place.alias("row"), "o_orderpriority", "o_orderstatus")
     cells = orders.select("book", "sheet", "row", F.posexplode(F.array("o_orderpriority", F.when(F.col("row") % 2 == 0, F.col("o_orderstatus")).otherwise(" "))).alias("col", "value"))
-    return profiles.cell_sample(cells, "book", rows=5000, most=6)
+    return profiles.cell_sample(cells, "book", most=6)
 
 
 QUERIES = {
@@ -119,8 +120,9 @@ ORACLE_SQL = {
         SELECT l_orderkey AS file_id, coalesce(arg_min(d, n) FILTER (n % 4 = 2), arg_min(d, n) FILTER (n % 4 = 0)) AS taken, arg_min('cam' || n, n) FILTER (n % 4 = 1) AS device
         FROM i WHERE n % 4 <> 3 GROUP BY l_orderkey""",
     "cell_sample": """
-        WITH c AS (SELECT o_custkey AS book, 's' AS sheet, CAST(o_orderkey AS INT) AS row, 0 AS col, o_orderpriority AS value FROM orders
-            UNION ALL SELECT o_custkey, 's', CAST(o_orderkey AS INT), 1, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0),
-        k AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY row, col) AS t FROM c WHERE row < 5000)
+        WITH o AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS row FROM orders),
+        c AS (SELECT o_custkey AS book, 's' AS sheet, row, 0 AS col, o_orderpriority AS value FROM o
+            UNION ALL SELECT o_custkey, 's', row, 1, o_orderstatus FROM o WHERE row % 2 = 0),
+        k AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY row, col) AS t FROM c WHERE row < 200)
         SELECT book, sheet, row, string_agg(value, ' | ' ORDER BY col) AS line FROM k WHERE t <= 6 GROUP BY book, sheet, row""",
 }

@@ -110,7 +110,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipments as renames by month; parts found by hash or by name get the newest stamp."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    items = table(spark, sf_dir, "lineitem")
     records = items.select(
         F.date_format("l_shipdate", "yyyy-MM").alias("session"), F.date_format("l_shipdate", "yyyy-MM").alias("stamp"),
         F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"), F.concat(F.lit("Part"), F.col("l_partkey").cast("string")).alias("new_name"),
@@ -231,7 +231,7 @@ ORACLE_SQL = {
         SELECT CAST(k AS VARCHAR) AS path, k * 3 AS size, 'removed' AS side FROM k WHERE k % 23 = 0 OR k % 29 = 0 OR k % 31 = 0
         UNION ALL SELECT CAST(k AS VARCHAR), CASE WHEN k % 29 = 0 THEN k * 3 + 1 ELSE k * 3 END, 'added' FROM k WHERE k % 23 <> 0 AND (k % 29 = 0 OR k % 31 = 0)""",
     "history_lookup": """
-        WITH s AS (SELECT l_partkey, strftime(l_shipdate, '%Y-%m') AS m FROM lineitem WHERE l_linenumber = 1),
+        WITH s AS (SELECT l_partkey, strftime(l_shipdate, '%Y-%m') AS m FROM lineitem),
         n AS (SELECT DISTINCT m FROM s ORDER BY m DESC LIMIT 24), k AS (SELECT l_partkey, max(m) AS m FROM s SEMI JOIN n USING (m) GROUP BY l_partkey)
         SELECT p_partkey, m AS renamed_on FROM part LEFT JOIN k ON l_partkey = p_partkey""",
     "undo_plan": """

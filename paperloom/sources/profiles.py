@@ -56,8 +56,8 @@ def json_profile(df: DataFrame, json: str, keys: int = 50) -> DataFrame:
     kind = F.schema_of_variant(parsed)
     root = F.when(parsed.isNull(), "invalid").when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise("value")
     told = df.withColumn("root", root)
-    names = F.when(F.col("root") == "object", F.slice(F.array_sort(F.json_object_keys(F.col(json))), 1, keys))
-    return told.withColumns({"keys": F.coalesce(names, F.array().cast("array<string>")), "n_items": F.when(F.col("root") == "array", F.json_array_length(F.col(json))).when(F.col("root") == "object", F.size(names)).otherwise(0)})
+    names = F.when(F.col("root") == "object", F.array_sort(F.json_object_keys(F.col(json))))
+    return told.withColumns({"keys": F.coalesce(F.slice(names, 1, keys), F.array().cast("array<string>")), "n_items": F.when(F.col("root") == "array", F.json_array_length(F.col(json))).when(F.col("root") == "object", F.size(names)).otherwise(0)})
 
 
 def xml_texts(xml: Column) -> Column:
