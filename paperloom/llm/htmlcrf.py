@@ -13,7 +13,8 @@ time; the weights (some hundred numbers) go out with the tasks.
 
 Defined results: null and empty pages, and pages without main text, have an empty text and 0 characters;
 unclosed and stray tags are handled as browsers do in the plain cases; scripts, styles, templates and
-the head never are text; character references are decoded; nothing is capped.
+the head never are text, nor what stands inside video, audio, canvas, object, svg or select, which their parent's end
+closes if nothing else does; formulas are text; character references are decoded; nothing is capped.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ ROUNDS = 80
 PENALTY = 0.02
 
 #: Elements by what they do to text.
-HIDDEN = frozenset("script style noscript template textarea svg math iframe object canvas audio video select title".split())
+RAW = frozenset("script style noscript template textarea iframe title".split())
+CONCEALED = frozenset("svg object canvas audio video select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -76,6 +78,8 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], frozenset[str], int
 
     def add(piece: str) -> None:
         nonlocal linked
+        if any(t in CONCEALED for t, _ in stack):
+            return
         parts.append(piece)
         if any(t == "a" for t, _ in stack):
             linked += len(piece)
@@ -100,7 +104,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], frozenset[str], int
                     del stack[i:]
                     break
             continue
-        if name in HIDDEN:
+        if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             if not tag[3].endswith("/"):
                 at = close.end() if close else len(page)

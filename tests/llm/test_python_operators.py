@@ -181,12 +181,14 @@ def test_pages_of_odd_kinds(spark):
         (4, "u", "<p>unclosed <script>var a = '<p>no</p>'"),
         (5, "u", "<article>" + "<p>word one two.</p>" * 3000 + "</article>"),
         (None, None, "<!-- only a comment"),
+        (6, "u", "<article><p>One sentence stands here. <video src='v'>no video</p><p>Two <math><mi>x</mi></math> <svg><text>no</text></svg>ends here.</p><div><select><option>no</div><p>Three stays too.</p></article>"),
     ]
     docs = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r["page_id"]: r for r in htmlcrf.extract(docs).collect()}
     assert got[1]["text"] == got[2]["text"] == got[None]["text"] == ""
     assert got[3]["text"] == "A&B title. One Two é."
     assert got[3]["n_chars"] == len(got[3]["text"])
+    assert got[6]["text"] == "One sentence stands here. Two x ends here. Three stays too."
     assert got[5]["text"] == " ".join(["word one two."] * 3000)
     assert htmlcrf.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
