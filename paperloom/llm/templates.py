@@ -58,7 +58,7 @@ LICENCES = {
         OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
         under the License""",
     "gpl-header": """
-        <<var;match=.+;most=4>> is free software<<o>>;<</o>> you can redistribute it and/or modify it under the terms of the GNU
+        is free software<<o>>;<</o>> you can redistribute it and/or modify it under the terms of the GNU
         <<o>>Lesser<</o>><<o>>Affero<</o>> General Public License as published by the Free Software Foundation<<o>>, either<</o>> version
         <<var;match=[0-9]+;most=2>> <<o>>of the License<</o>><<o>>, or (at your option) any later version<</o>>. <<var;match=.+;most=4>> is
         distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
