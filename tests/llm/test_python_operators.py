@@ -226,7 +226,7 @@ def test_licence_scores_need_no_anchor(spark):
         "permission is granted",  # two words
         "copyright holders keep all",
         "you may copy this under the moon",
-        "this work is free",  # optional and replaceable words only
+        "released 7 acme 9",  # optional and replaceable words only
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in licenses.scan(docs).collect()}
