@@ -8,10 +8,16 @@ alphabet, runs above and below the middle, and serial correlation of neighbours.
 joined by Fisher's method.
 
 Words and names fail those tests, keys pass them. How many must fail by chance depends on how many are
-tested and how long they are, so the false-discovery rate of "not random" is controlled (Benjamini and
-Hochberg) inside each stratum of encoding and length: short runs, whose tests are weak, do not borrow
-from long ones. p-values are counted in bins of 1/20 of a power of ten, so a stratum's cut comes from a
-table of bounded size. What is not found "not random" is kept as a secret.
+tested and how long they are, so both rates of false findings are controlled inside each stratum of
+encoding and length: short runs, whose tests are weak, do not borrow from long ones.
+
+* Of those that are found "not random", at most `RATE` may be keys (Benjamini and Hochberg).
+* Of those that are kept as secrets, at most `RATE` may be words and names. Keys' p-values lie evenly, so
+  those above one half, and one more for chance, tell how many keys there are above any other p (Storey).
+  With few candidates the one more gives a candidate the benefit of the doubt.
+
+A candidate is a secret if neither excludes it. p-values are counted in bins of 1/20 of a power of ten, so
+a stratum's cut comes from a table of bounded size.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no secrets; a
 candidate that a known kind's span overlaps is dropped, known spans stay as they are, also where they
@@ -49,6 +55,8 @@ ENCODINGS = (
 RATE = 0.05
 BINS_A_POWER = 20
 LAST_BIN = 30 * BINS_A_POWER
+#: Bins below this one hold p-values above one half.
+EVEN_BINS = 6
 BLOCK = 64
 
 
@@ -221,18 +229,32 @@ def candidates_of(text: Column) -> Column:
 
 
 def cuts(tested: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """For each stratum the first bin that is found not random; strata without one are left out.
+    """For each stratum the first bin that is no secret.
 
-    tested: (stratum, bin), a row for each candidate. The cut is the lowest bin whose upper p-value is
-    within rate * rank / tests, ranks counted from the smallest p-values.
+    tested: (stratum, bin), a row for each candidate. Not random are the bins from the lowest one whose upper
+    p-value is within rate * rank / tests, ranks counted from the smallest p-values. Secrets are the bins up to
+    the highest one up to which 1 - rate of the candidates are accounted for by evenly spread p-values.
     """
     binned = tested.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("held"))
-    smaller = Window.partitionBy("stratum").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = binned.withColumn("rank", F.sum("held").over(smaller)).withColumn(
-        "tests", F.sum("held").over(Window.partitionBy("stratum"))
+    all_bins = Window.partitionBy("stratum")
+    smaller = all_bins.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    larger = all_bins.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    edge = lambda b: F.pow(F.lit(10.0), -b / float(BINS_A_POWER))
+    even = F.sum(F.when(F.col("bin") < EVEN_BINS, F.col("held")).otherwise(0)).over(all_bins)
+    ranked = binned.select(
+        "stratum",
+        "bin",
+        (edge(F.col("bin")) <= rate * F.sum("held").over(smaller) / F.sum("held").over(all_bins)).alias("not_random"),
+        ((even + 1) / (1.0 - edge(F.lit(EVEN_BINS))) * (1.0 - edge(F.col("bin") + 1)) >= (1.0 - rate) * F.sum("held").over(larger)).alias(
+            "accounted"
+        ),
+    )
+    limits = ranked.groupBy("stratum").agg(
+        F.least(
+            F.coalesce(F.min(F.when(F.col("not_random"), F.col("bin"))), F.lit(LAST_BIN + 1)),
+            F.coalesce(F.max(F.when(F.col("accounted"), F.col("bin"))), F.lit(-1)) + 1,
+        ).alias("cut")
     )
-    highest = F.pow(F.lit(10.0), -F.col("bin") / float(BINS_A_POWER))
-    limits = ranked.where(highest <= rate * F.col("rank") / F.col("tests")).groupBy("stratum").agg(F.min("bin").alias("cut"))
     return {r["stratum"]: r["cut"] for r in limits.collect()}  # a row for each stratum: 200 at most
 
 

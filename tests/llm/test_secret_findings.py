@@ -100,17 +100,27 @@ def test_findings_equal_a_second_implementation(spark):
         strata[number * 100 + min(math.floor(2 * math.log2(n)), 24)].append(min(math.floor(-math.log10(max(p, 1e-300)) * 20), 600))
     limits = {}
     for s, bins in strata.items():
-        ok = [b for b in set(bins) if 10 ** (-b / 20) <= secrets.RATE * sum(c >= b for c in bins) / len(bins)]
-        if ok:
-            limits[s] = min(ok)
+        dropped = [b for b in bins if 10 ** (-b / 20) <= secrets.RATE * sum(c >= b for c in bins) / len(bins)]
+        keys = (sum(b < 6 for b in bins) + 1) / (1 - 10**-0.3)
+        kept = [b for b in bins if keys * (1 - 10 ** (-(b + 1) / 20)) >= (1 - secrets.RATE) * sum(c <= b for c in bins)]
+        limits[s] = min(min(dropped, default=601), max(kept, default=-1) + 1)
     want = defaultdict(list)
     hexes = {d: [m.span() for m in re.finditer(secrets.HEX + "|" + secrets.ACCESS, t or "")] for d, t, *_ in rows}
     for (doc, a, b), (number, n, p) in spots.items():
         s = number * 100 + min(math.floor(2 * math.log2(n)), 24)
-        if min(math.floor(-math.log10(max(p, 1e-300)) * 20), 600) < limits.get(s, 1 << 30) and all(
+        if min(math.floor(-math.log10(max(p, 1e-300)) * 20), 600) < limits[s] and all(
             e <= a or b <= f for f, e in hexes[doc]
         ):
             want[doc].append((a, b))
     got = found(spark, rows)
     assert {d: sorted(v) for d, v in got.items()} == {r[0]: sorted(want[r[0]]) for r in rows}
     assert limits and any(want.values())
+
+
+def test_planted_keys_are_found_and_names_are_not(spark):
+    rows = planted(11, 40, 480)
+    got = found(spark, rows)
+    hits = Counter((what == "name") for doc, _, what, _ in rows if got[doc])
+    assert hits[False] >= 0.9 * 480
+    assert hits[True] <= 0.05 * 480
+    assert all(text[a:b] in text.split() for doc, text, *_ in rows for a, b in got[doc])
