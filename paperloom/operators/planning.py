@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
+
 #: Extensions that make files belong together.
 SIDECARS = (".xmp", ".aae", ".srt", ".thm", ".lrv")
 LIVE_IMAGES = (".heic", ".jpg", ".jpeg")
@@ -153,8 +155,8 @@ def undo_plan(records: DataFrame, now: DataFrame) -> DataFrame:
         .when(ext(F.col("old_path")) != ext(F.col("new_path")), "other_extension")
         .otherwise("ok")
     )
-    turn = F.row_number().over(Window.partitionBy("session").orderBy(F.col("seq").desc()))
-    return joined.withColumn("undo", state).withColumn("turn", turn).drop("_sha", "_busy")
+    told = joined.withColumn("undo", state).drop("_sha", "_busy")
+    return numbered(told, "session", [F.col("seq").desc()], "turn")
 
 
 def incomplete_sessions(records: DataFrame) -> DataFrame:
@@ -220,8 +222,8 @@ def merge_histories(sources: DataFrame, key: str, order: str) -> DataFrame:
 def apply_order(plan: DataFrame, session: str, kind: str, path: str) -> DataFrame:
     """Add turn: files first, then folders from the deepest up, so that no path changes before it is used."""
     depth = F.size(F.split(path, "/"))
-    order = Window.partitionBy(session).orderBy((F.col(kind) == "folder").cast("int"), F.when(F.col(kind) == "folder", -depth).otherwise(0), path)
-    return plan.withColumn("turn", F.row_number().over(order))
+    order = [(F.col(kind) == "folder").cast("int"), F.when(F.col(kind) == "folder", -depth).otherwise(0), F.col(path)]
+    return numbered(plan, session, order, "turn")
 
 
 def merge_as_document(chosen: DataFrame, group: str, base: str, stem: str, ext: str, order: str) -> DataFrame:
