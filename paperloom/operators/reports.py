@@ -86,6 +86,23 @@ def archive_profile(entries: DataFrame, archive: str, ext: str, size: str, packe
     return per.withColumns({"ratio": F.round(ratio, 4), "suspicious": ratio > 200, "holds_scans": F.col("_scans") / F.col("n_entries") >= 0.8}).drop("_packed", "_scans")
 
 
+def archive_contents(entries: DataFrame, archive: str, order: str, name: str, encrypted: str, most: int = 10, sample: int = 50) -> DataFrame:
+    """Per archive: extensions, the `most` frequent as array<struct<ext, n>>, the first `sample` names and if an entry is encrypted.
+
+    Counts meet before they move, and only the first names of each archive do.
+    """
+    last = F.regexp_extract(name, r"[^/\\]*$", 0)
+    told = entries.withColumn("_ext", F.lower(F.regexp_extract(last, r"(?<!^)\.[^.]+$", 0)))
+    counts = told.groupBy(archive, "_ext").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.coalesce(encrypted, F.lit(False))).alias("_locked"))
+    turn = F.row_number().over(Window.partitionBy(archive).orderBy(F.col("_n").desc(), "_ext"))
+    ranked = counts.withColumn("_turn", turn)
+    listed = lambda turn, value, until: F.transform(F.array_sort(F.collect_list(F.when(F.col(turn) <= until, F.struct(F.col(turn).alias("t"), value.alias("v"))))), lambda x: x["v"])
+    kinds = ranked.groupBy(archive).agg(listed("_turn", F.struct(F.col("_ext").alias("ext"), F.col("_n").alias("n")), most).alias("extensions"), F.bool_or("_locked").alias("encrypted"))
+    first = entries.withColumn("_turn", F.row_number().over(Window.partitionBy(archive).orderBy(order, name))).where(F.col("_turn") <= sample)
+    names = first.groupBy(F.col(archive).alias("_archive")).agg(listed("_turn", F.col(name), sample).alias("sample"))
+    return kinds.join(names, F.col(archive).eqNullSafe(F.col("_archive"))).drop("_archive")
+
+
 #: Weights of facts and factors of diagnostic states.
 WEIGHTS = {"document_type": 3.0, "document_date": 3.0, "document_number": 2.0, "case_number": 2.0, "person": 1.0, "organization": 1.0, "subject": 1.0}
 RELIABILITY = {"llm": 0.9, "filesystem": 0.5}

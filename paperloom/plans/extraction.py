@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract
 from .rendered import SQL, rendered
+from .tables import table
 
 
 def extract_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,17 @@ def pick_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "kind", "value")
 
 
+def pick_case_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as decisions that name two cases and a proceeding; in every second one far from the start."""
+    k = F.col("o_orderkey")
+    text = F.concat(
+        F.when(k % 2 == 0, F.repeat(F.lit("слово "), F.lit(400))).otherwise(""), F.lit("Решение по делу № А40-"), (k % 1000000).cast("string"), F.lit("/2024. Производство 12345/24/"),
+        (k % 1000 + 1000).cast("string"), F.lit("-ИП, затем дело № А41-7/2023."),
+    )
+    found = extract.extract_identifiers(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), ["o_orderkey"])
+    return extract.pick_case_numbers(found, ["o_orderkey"]).select("o_orderkey", F.col("rank").cast("long").alias("rank"), "value")
+
+
 def taxid_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered ids are valid; the same with the last digit moved on are not."""
     ids = rendered(spark, sf_dir).select("doc_id", "tax_id")
@@ -65,7 +77,7 @@ def table_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_dates, pick_document_date, extract_identifiers, pick_identifier, taxid_checksum, extract_amounts, extract_persons,
+        extract_dates, pick_document_date, extract_identifiers, pick_identifier, pick_case_numbers, taxid_checksum, extract_amounts, extract_persons,
         doc_type_match, table_period,
     )
 }
@@ -85,6 +97,8 @@ ORACLE_SQL = {
     "pick_identifier": _R
     + f""" SELECT doc_id, CASE WHEN kind = 'Договор займа' THEN 'contract_number' ELSE 'document_number' END AS kind, CAST(doc_id AS STRING) AS value
         FROM r WHERE kind = 'Договор займа' OR {_NUMBERED}""",
+    "pick_case_numbers": """SELECT o_orderkey, r AS rank, CASE WHEN (o_orderkey % 2 = 0) = (r = 1) THEN '12345/24/' || (o_orderkey % 1000 + 1000) || '-ИП' ELSE 'А40-' || (o_orderkey % 1000000) || '/2024' END AS value
+        FROM orders, (VALUES (1), (2)) AS ranks(r)""",
     "taxid_checksum": _R + " SELECT doc_id, true AS valid, false AS moved_valid FROM r",
     "extract_amounts": _R + " SELECT doc_id, CAST(amount AS DOUBLE) AS amount, 'RUB' AS currency, 1 AS rank FROM r WHERE amount > 0",
     "extract_persons": _R + " SELECT doc_id, person, 'applicant' AS role FROM r",

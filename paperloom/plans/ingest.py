@@ -67,10 +67,39 @@ def track_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.track_summary(points, "user_id").withColumn("km", F.round("km", 3))
 
 
+def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with meta elements of their own id and address put in front; every fifth has a second description."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    k = F.col("page_id").cast("string")
+    second = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("<meta NAME=description content=later"), k, F.lit(">"))).otherwise("")
+    made = F.concat(
+        F.lit('<meta name="Description" content="of > '), k, F.lit(' name=x"/><META content=\'u&amp;'), k, F.lit("' property='og:url'><meta name=empty content=\"\">"), second, F.col("html")
+    )
+    told = profiles.html_profile(pages.select("page_id", made.alias("html")))
+    return told.select("page_id", F.array_join(F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|").alias("meta"))
+
+
+def kml_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as placemarks of a KML text."""
+    events = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    mark = F.concat(
+        F.lit("<Placemark id='p'><name>e"), k.cast("string"), F.lit("</name><TimeStamp><when>"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
+        F.lit("</when></TimeStamp><Point><coordinates> "), (k % 180).cast("string"), F.lit(","), (k % 90).cast("string"), F.lit(",0 1,1,0 </coordinates></Point></Placemark>"),
+    )
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", mark.alias("p")))), lambda s: s["p"]), "")
+    made = events.groupBy("user_id").agg(body.alias("body"))
+    kml = F.concat(F.lit("<kml xmlns='http://www.opengis.net/kml/2.2'><Document><!-- <name>no</name> --><name>user "), F.col("user_id").cast("string"), F.lit(" &amp; co</name>"), F.col("body"), F.lit("</Document></kml>"))
+    told = profiles.kml_summary(made.select("user_id", kml.alias("x")), "x")
+    return told.select("user_id", "kml_name", F.col("placemarks").cast("long").alias("placemarks"), "first_coordinate", F.array_join("timestamps", "|").alias("timestamps"))
+
+
 def tag_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"))
-    tag = F.element_at(F.array(*map(F.lit, ["CreateDate", "Model", "DateTimeOriginal", "Artist"])), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    value = F.when(tag == "Model", F.concat(F.lit("cam"), F.col("l_linenumber").cast("string"))).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    tag = F.element_at(F.array(*map(F.lit, ["CreateDate", "Model", "DateTimeOriginal", "Artist", "GPSLatitude", "GPSLongitude"])), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    k = F.col("l_orderkey")
+    degrees = F.when((k % 7 == 0) & (tag == "GPSLongitude"), "unknown").otherwise(F.concat((k % 90).cast("string"), F.lit(".5")))
+    value = F.when(tag == "Model", F.concat(F.lit("cam"), F.col("l_linenumber").cast("string"))).when(tag.startswith("GPS"), degrees).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
     return profiles.tag_pivot(items.select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("ord"), tag.alias("tag"), value.alias("value")), "file_id")
 
 
@@ -84,7 +113,7 @@ def cell_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (type_from_bytes, technical_files, html_profile, csv_profile, json_profile, xml_profile, track_length, tag_pivot, cell_sample)
+    for f in (type_from_bytes, technical_files, html_profile, csv_profile, json_profile, xml_profile, track_length, tag_pivot, cell_sample, html_meta, kml_summary)
 }
 _CASE = " ".join(f"WHEN {i} THEN '{h[2]}'" for i, h in enumerate(HEADS))
 ORACLE_SQL = {
@@ -115,10 +144,18 @@ ORACLE_SQL = {
         WITH p AS (SELECT user_id, event_id, ts, round(value / 10, 3) AS lat, event_id % 90 AS lon, lag(round(value / 10, 3)) OVER w AS a, lag(event_id % 90) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
         SELECT user_id, count(*) AS n_points, round(sum(CASE WHEN a IS NULL THEN 0 ELSE 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lon - b) / 2), 2)))) END), 3) AS km,
                strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_ts FROM p GROUP BY user_id""",
+    "html_meta": """
+        SELECT page_id, 'description=' || CASE WHEN page_id % 5 = 0 THEN 'later' || page_id ELSE 'of > ' || page_id || ' name=x' END || '|og:url=u&' || page_id AS meta FROM pages""",
+    "kml_summary": """
+        WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t FROM events)
+        SELECT user_id, 'user ' || user_id || ' & co' AS kml_name, count(*) AS placemarks, (min(event_id) % 180) || ',' || (min(event_id) % 90) || ',0' AS first_coordinate,
+               string_agg(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '|' ORDER BY event_id) FILTER (t <= 5) AS timestamps FROM e GROUP BY user_id""",
     "tag_pivot": """
         WITH i AS (SELECT l_orderkey, l_linenumber AS n, strftime(min(l_shipdate), '%Y-%m-%d') AS d FROM lineitem GROUP BY ALL)
-        SELECT l_orderkey AS file_id, coalesce(arg_min(d, n) FILTER (n % 4 = 2), arg_min(d, n) FILTER (n % 4 = 0)) AS taken, arg_min('cam' || n, n) FILTER (n % 4 = 1) AS device
-        FROM i WHERE n % 4 <> 3 GROUP BY l_orderkey""",
+        SELECT l_orderkey AS file_id, coalesce(arg_min(d, n) FILTER (n % 6 = 2), arg_min(d, n) FILTER (n % 6 = 0)) AS taken, arg_min('cam' || n, n) FILTER (n % 6 = 1) AS device,
+               CASE WHEN bool_or(n = 4) AND bool_or(n = 5) AND l_orderkey % 7 <> 0 THEN l_orderkey % 90 + 0.5::DOUBLE END AS latitude,
+               CASE WHEN bool_or(n = 4) AND bool_or(n = 5) AND l_orderkey % 7 <> 0 THEN l_orderkey % 90 + 0.5::DOUBLE END AS longitude
+        FROM i WHERE n % 6 <> 3 GROUP BY l_orderkey""",
     "cell_sample": """
         WITH o AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS row FROM orders),
         c AS (SELECT o_custkey AS book, 's' AS sheet, row, 0 AS col, o_orderpriority AS value FROM o

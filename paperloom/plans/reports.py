@@ -63,6 +63,17 @@ def archive_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.archive_profile(entries, "archive", "ext", "size", "packed")
 
 
+def archive_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entries, with extensions by their size; the two most frequent extensions and the first five names."""
+    suffix = F.element_at(F.array(*map(F.lit, [".PDF", ".jpg", "", ".tar.gz"])), (F.col("p_size") % 4 + 1).cast("int"))
+    entries = table(spark, sf_dir, "part").select(
+        F.concat_ws("-", "p_brand", "p_type").alias("archive"), "p_partkey", F.concat(F.lit("in.side/"), F.col("p_name"), suffix).alias("name"), (F.col("p_size") == 50).alias("locked")
+    )
+    told = reports.archive_contents(entries, "archive", "p_partkey", "name", "locked", most=2, sample=5)
+    kinds = F.array_join(F.transform("extensions", lambda x: F.concat_ws(":", x["ext"], x["n"].cast("string"))), ",")
+    return told.select("archive", kinds.alias("extensions"), F.array_join("sample", "|").alias("sample"), "encrypted")
+
+
 def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
@@ -84,7 +95,7 @@ def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (quality_report, quality_totals, merge_reports, edit_shapes, keep_latest, archive_theme, archive_profile, confidence_score)
+    for f in (quality_report, quality_totals, merge_reports, edit_shapes, keep_latest, archive_theme, archive_profile, archive_contents, confidence_score)
 }
 _LOG = """WITH l AS (SELECT *, 'type' || (user_id % 20) AS document_type, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'click' THEN 'edited' WHEN 'error' THEN 'rejected' ELSE 'shown' END AS event FROM events)"""
 _TOTALS = """count(*) AS n, count(*) FILTER (event = 'accepted') AS accepted, count(*) FILTER (event = 'edited') AS edited,
@@ -107,6 +118,13 @@ ORACLE_SQL = {
         SELECT p_brand || '-' || p_type AS archive, count(*) AS n_entries, CAST(sum(p_size * 1000) AS BIGINT) AS n_bytes,
                round(sum(p_size * 1000) / sum(p_size % 7 + 1), 4) AS ratio, sum(p_size * 1000) / sum(p_size % 7 + 1) > 200 AS suspicious,
                count(*) FILTER (p_size > 8) / count(*) >= 0.8 AS holds_scans FROM part GROUP BY 1""",
+    "archive_contents": """
+        WITH e AS (SELECT p_brand || '-' || p_type AS archive, p_partkey, 'in.side/' || p_name || ['.PDF', '.jpg', '', '.tar.gz'][p_size % 4 + 1] AS name,
+            ['.pdf', '.jpg', '', '.gz'][p_size % 4 + 1] AS ext, p_size = 50 AS locked, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS t FROM part),
+        c AS (SELECT archive, ext, count(*) AS n, row_number() OVER (PARTITION BY archive ORDER BY count(*) DESC, ext) AS t FROM e GROUP BY archive, ext),
+        k AS (SELECT archive, string_agg(ext || ':' || n, ',' ORDER BY t) AS extensions FROM c WHERE t <= 2 GROUP BY archive)
+        SELECT archive, extensions, string_agg(name, '|' ORDER BY p_partkey) FILTER (t <= 5) AS sample, bool_or(locked) AS encrypted
+        FROM e JOIN k USING (archive) GROUP BY archive, extensions""",
     "confidence_score": """
         WITH k AS (SELECT o_orderkey AS k FROM orders),
         w AS (SELECT k, CASE WHEN k % 2 = 0 THEN 3.0 ELSE 0 END AS a, CASE WHEN k % 3 = 0 THEN 3.0 ELSE 0 END AS b, CASE WHEN k % 5 = 0 THEN 1.0 ELSE 0 END AS c, CASE WHEN k % 7 = 0 THEN 2.0 ELSE 0 END AS d FROM k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.matching import let
 
 #: The character references that are decoded natively, in order; the ampersand last.
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
@@ -26,8 +27,33 @@ def visible_text(html: Column) -> Column:
     return _plain(F.regexp_replace(visible, r"(?s)<!--.*?-->", " "))
 
 
+#: An attribute of a start tag: its name, and its value in quotes of either kind or bare.
+ATTRIBUTE = r"""(?s)([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _attribute(found: Column, name: str) -> Column:
+    """The value of the first attribute of a name among the attributes of a tag; empty if it is not there."""
+    named = F.filter(found, lambda a: F.lower(F.regexp_extract(a, ATTRIBUTE, 1)) == name)
+    value = F.regexp_extract(F.get(named, F.lit(0)), ATTRIBUTE, 2)
+    return F.coalesce(F.regexp_replace(value, r"""^["']|["']$""", ""), F.lit(""))
+
+
+def meta_pairs(html: Column, most: int = 50) -> Column:
+    """map of the names (or properties, in lower case) of a page's first `most` meta elements to their contents; the last one of a name counts."""
+    tags = F.slice(F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?:"[^"]*"|'[^']*'|[^>"'])*+>"""), F.lit(0)), 1, most)
+
+    def pair(tag: Column) -> Column:
+        found = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
+        name = F.coalesce(F.nullif(_attribute(found, "name"), F.lit("")), _attribute(found, "property"))
+        return F.struct(F.lower(name).alias("name"), decoded(_attribute(found, "content")).alias("content"))
+
+    told = F.filter(F.transform(tags, pair), lambda p: (p["name"] != "") & (p["content"] != ""))
+    last = let(told, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, most), lambda later: later["name"] == p["name"])))
+    return F.map_from_entries(last)
+
+
 def html_profile(df: DataFrame, html: str = "html", headings: int = 20) -> DataFrame:
-    """Add title, headings (h1 to h3), visible text and charset. Scripts, styles and the head are not visible."""
+    """Add title, headings (h1 to h3), visible text, charset and meta pairs. Scripts, styles and the head are not visible."""
     body = F.coalesce(F.col(html), F.lit(""))
     heads = F.regexp_extract_all(body, F.lit(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>"), F.lit(1))
     return df.withColumns(
@@ -36,6 +62,7 @@ def html_profile(df: DataFrame, html: str = "html", headings: int = 20) -> DataF
             "headings": F.slice(F.filter(F.transform(heads, _plain), lambda h: h != ""), 1, headings),
             "visible": visible_text(body),
             "charset": F.lower(F.regexp_extract(body, r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", 1)),
+            "meta": meta_pairs(body),
         }
     )
 
@@ -89,15 +116,39 @@ def track_summary(points: DataFrame, track: str) -> DataFrame:
     return told.withColumn("_step", step).groupBy(track).agg(F.count(F.lit(1)).alias("n_points"), F.sum("_step").alias("km"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def kml_summary(df: DataFrame, xml: str, times: int = 5) -> DataFrame:
+    """Add kml_name (the first name), placemarks, first_coordinate and the first `times` timestamps of a KML text."""
+    body = F.regexp_replace(F.coalesce(F.col(xml), F.lit("")), r"(?s)<!--.*?-->", "")
+    of = lambda tag: F.filter(
+        F.transform(F.regexp_extract_all(body, F.lit(rf"(?i)<(?:\w+:)?(?:{tag})(?:\s[^>]*)?>([^<]*)<"), F.lit(1)), lambda t: F.trim(decoded(t))), lambda t: t != ""
+    )
+    first = lambda values: F.coalesce(F.get(values, F.lit(0)), F.lit(""))
+    return df.withColumns(
+        {
+            "kml_name": first(of("name")),
+            "placemarks": F.regexp_count(body, F.lit(r"(?i)<(?:\w+:)?placemark(?=[\s/>])")),
+            "first_coordinate": F.regexp_extract(first(of("coordinates")), r"^\S+", 0),
+            "timestamps": F.slice(of("when|begin|end"), 1, times),
+        }
+    )
+
+
 #: Tags of a wanted fact, the most trusted first.
 TAG_ORDER = {"taken": ("DateTimeOriginal", "CreateDate", "MediaCreateDate"), "device": ("Model", "CameraModelName")}
+PLACE = ("GPSLatitude", "GPSLongitude")
 
 
 def tag_pivot(tags: DataFrame, ident: str) -> DataFrame:
-    """taken and device of each file: the first non-empty value of the most trusted tag. tags: (ident, ord, tag, value)."""
-    wanted = tags.where(F.col("tag").isin(*[t for ts in TAG_ORDER.values() for t in ts]) & (F.trim("value") != ""))
+    """taken, device and place of each file: the first non-empty value of the most trusted tag. tags: (ident, ord, tag, value).
+
+    latitude and longitude are numbers, both or neither.
+    """
+    wanted = tags.where(F.col("tag").isin(*[t for ts in TAG_ORDER.values() for t in ts], *PLACE) & (F.trim("value") != ""))
     pick = lambda names: F.coalesce(*[F.min_by(F.when(F.col("tag") == n, F.col("value")), F.when(F.col("tag") == n, F.col("ord"))) for n in names])
-    return wanted.groupBy(ident).agg(*[pick(names).alias(fact) for fact, names in TAG_ORDER.items()])
+    told = wanted.groupBy(ident).agg(*[pick(names).alias(fact) for fact, names in TAG_ORDER.items()], *[pick([tag]).try_cast("double").alias(f"_{tag}") for tag in PLACE])
+    both = F.col(f"_{PLACE[0]}").isNotNull() & F.col(f"_{PLACE[1]}").isNotNull()
+    place = {out: F.when(both, F.col(f"_{tag}")) for out, tag in zip(("latitude", "longitude"), PLACE)}
+    return told.withColumns(place).drop(*[f"_{tag}" for tag in PLACE])
 
 
 def cell_sample(cells: DataFrame, book: str, rows: int = 200, columns: int = 30, most: int = 1500) -> DataFrame:
@@ -127,7 +178,6 @@ def safe_metadata(values: Column) -> Column:
     return F.map_filter(F.transform_values(values, lambda k, v: F.trim(v)), lambda k, v: v.isNotNull() & (v != ""))
 
 
-
 def json_fragments(json: Column, most: int = 200, longest: int = 200) -> Column:
     """`key: value` of the short leaves of a JSON text, at any depth, in order."""
     leaf = r'"([^"\\]{1,80})"\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9.eE+-]+|true|false)'
