@@ -21,6 +21,18 @@ def top_by(counts: DataFrame, value: str, n: str, top: int) -> DataFrame:
     return counts.orderBy(F.col(n).desc(), F.col(value)).limit(top)
 
 
+def low_confidence(log: DataFrame, extension: str, confidence: str, least: float = 0.6, top: int = 10) -> DataFrame:
+    """The extensions with the most decisions below `least`; none counts as 0, and no extension as a dash."""
+    weak = log.where(F.coalesce(confidence, F.lit(0.0)) < least)
+    kind = F.coalesce(F.nullif(F.col(extension), F.lit("")), F.lit("—"))
+    return top_by(weak.groupBy(kind.alias("extension")).agg(F.count(F.lit(1)).alias("n")), "extension", "n", top)
+
+
+def review_codes(log: DataFrame, codes: str, top: int = 10) -> DataFrame:
+    """The codes that names were held back for most often; a code counts each time that a decision lists it."""
+    return top_by(log.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")), "code", "n", top)
+
+
 def merge_reports(reports: DataFrame, counts: str, edits: str, top: int = 15) -> DataFrame:
     """Sum many reports' maps key by key; the types with the most edits first.
 

@@ -48,10 +48,12 @@ def ground_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered texts as bytes of UTF-8 and UTF-8 with a mark in front."""
+    """Rendered texts as bytes of UTF-8, and of UTF-8 and UTF-16 in both orders with a mark in front."""
     docs = rendered(spark, sf_dir)
     body = F.encode("text", "UTF-8")
-    content = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), body)).otherwise(body)
+    k = F.col("doc_id") % 4
+    wide = lambda mark, page: F.concat(F.unhex(F.lit(mark)), F.encode("text", page))
+    content = F.when(k == 0, F.concat(F.unhex(F.lit("EFBBBF")), body)).when(k == 1, wide("FFFE", "UTF-16LE")).when(k == 2, wide("FEFF", "UTF-16BE")).otherwise(body)
     found = decoding.decode_bytes(docs.select("doc_id", content.alias("content")), "content")
     return found.select("doc_id", "encoding", F.sha2("text", 256).alias("text_sha256"))
 
@@ -96,7 +98,7 @@ ORACLE_SQL = {
     "ground_answers": _R
     + """ SELECT doc_id, 'number' AS kind, CASE doc_id % 3 WHEN 0 THEN tax_id WHEN 1 THEN '0000000000' ELSE upper(person) END AS value, doc_id % 3 <> 1 AS supported FROM r
         UNION ALL SELECT doc_id, 'kind', kind, true FROM r""",
-    "decode_bytes": _R + " SELECT doc_id, 'utf-8' AS encoding, sha256(text) AS text_sha256 FROM r",
+    "decode_bytes": _R + " SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 2) THEN 'utf-16' ELSE 'utf-8' END AS encoding, sha256(text) AS text_sha256 FROM r",
     "unread_run_names": """
         WITH n AS (SELECT c_nationkey, bool_or(c_nationkey % 3 = 0 AND c_custkey % 2 = 0) AS known FROM customer GROUP BY 1)
         SELECT c_custkey, CASE WHEN NOT known THEN CASE WHEN c_nationkey % 2 = 0 THEN 'Договоры страны ' || c_nationkey ELSE 'Скан' END END AS label FROM customer JOIN n USING (c_nationkey)""",

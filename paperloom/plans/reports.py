@@ -24,6 +24,21 @@ def quality_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.decision_totals(_log(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ["day"])
 
 
+def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as decisions whose confidence is a hundredth of their value, on files of a kind for each user."""
+    k = F.col("user_id")
+    log = _log(spark, sf_dir).select((F.col("value") / 100).alias("confidence"), F.when(k % 13 == 0, "").when(k % 13 != 1, F.concat(F.lit(".x"), (k % 13).cast("string"))).alias("extension"))
+    return reports.low_confidence(log, "extension", "confidence")
+
+
+def review_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as decisions with up to two review codes each."""
+    k = F.col("event_id")
+    code = lambda part: F.concat(F.lit("C"), (part % 17).cast("string"))
+    log = _log(spark, sf_dir).select(F.when(k % 3 == 0, F.array(code(k))).when(k % 3 == 1, F.array(code(k), code(k % 5))).alias("codes"))
+    return reports.review_codes(log, "codes")
+
+
 def merge_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report of each user, merged."""
     log = _log(spark, sf_dir)
@@ -95,7 +110,7 @@ def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (quality_report, quality_totals, merge_reports, edit_shapes, keep_latest, archive_theme, archive_profile, archive_contents, confidence_score)
+    for f in (quality_report, quality_totals, low_confidence, review_codes, merge_reports, edit_shapes, keep_latest, archive_theme, archive_profile, archive_contents, confidence_score)
 }
 _LOG = """WITH l AS (SELECT *, 'type' || (user_id % 20) AS document_type, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'click' THEN 'edited' WHEN 'error' THEN 'rejected' ELSE 'shown' END AS event FROM events)"""
 _TOTALS = """count(*) AS n, count(*) FILTER (event = 'accepted') AS accepted, count(*) FILTER (event = 'edited') AS edited,
@@ -103,6 +118,12 @@ _TOTALS = """count(*) AS n, count(*) FILTER (event = 'accepted') AS accepted, co
 ORACLE_SQL = {
     "quality_report": f"{_LOG} SELECT document_type, {_TOTALS} FROM l GROUP BY document_type ORDER BY n DESC, document_type LIMIT 15",
     "quality_totals": f"{_LOG} SELECT strftime(ts, '%Y-%m-%d') AS day, {_TOTALS} FROM l GROUP BY 1",
+    "low_confidence": """
+        SELECT CASE WHEN user_id % 13 < 2 THEN '—' ELSE '.x' || user_id % 13 END AS extension, count(*) AS n FROM events WHERE coalesce(value / 100, 0) < 0.6
+        GROUP BY 1 ORDER BY n DESC, extension LIMIT 10""",
+    "review_codes": """
+        WITH c AS (SELECT 'C' || event_id % 17 AS code FROM events WHERE event_id % 3 < 2 UNION ALL SELECT 'C' || (event_id % 5) % 17 FROM events WHERE event_id % 3 = 1)
+        SELECT code, count(*) AS n FROM c GROUP BY code ORDER BY n DESC, code LIMIT 10""",
     "merge_reports": f"""{_LOG} SELECT document_type AS type, count(*) AS n, count(*) FILTER (event = 'edited') AS edited,
         round(count(*) FILTER (event = 'edited') / count(*), 4) AS edit_share FROM l GROUP BY 1 ORDER BY edited DESC, type LIMIT 15""",
     "edit_shapes": """SELECT p_partkey, p_partkey % 3 = 0 OR p_name LIKE 'new %' AS kept_first_word, p_partkey % 2 = 0 AS dropped_date,

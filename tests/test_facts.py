@@ -64,3 +64,15 @@ def test_addresses_tags_and_archives(spark):
     entries = spark.createDataFrame([(1, ".jpg", 10_000_000, 10), (2, ".txt", 10, 10)], "archive_id int, ext string, size long, csize long")
     got = {r["archive_id"]: (r["suspicious"], r["holds_scans"]) for r in reports.archive_profile(entries, "archive_id", "ext", "size", "csize").collect()}
     assert got == {1: (True, True), 2: (False, False)}
+
+
+def test_marks_and_declared_pages(spark):
+    rows = [
+        (0, b"\xff\xfe" + TEXT.encode("utf-16-le"), None), (1, b"\xfe\xff" + TEXT.encode("utf-16-be"), "cp1251"), (2, b"\xff\xfe\x00\x00" + TEXT.encode("utf-32-le"), None),
+        (3, TEXT.encode("cp1251"), "Windows-1251"), (4, TEXT.encode("koi8-r"), "no such page"), (5, TEXT.encode("utf-8"), "koi8_r"), (6, b"\xff\xfe" + b"abc", None), (7, b"", "cp1251"), (8, None, "cp866"),
+    ]
+    df = spark.createDataFrame(rows, "id long, content binary, declared string")
+    got = {r["id"]: (r["encoding"], r["text"]) for r in decoding.decode_bytes(df, "content", declared="declared").collect()}
+    assert {i: got[i] for i in range(6)} == {0: ("utf-16", TEXT), 1: ("utf-16", TEXT), 2: ("utf-32", TEXT), 3: ("windows-1251", TEXT), 4: ("koi8-r", TEXT), 5: ("utf-8", TEXT)}
+    assert got[6][0] in decoding.CODE_PAGES and got[6][1].endswith("abc")
+    assert got[7][1] == "" and got[8] == (None, None)

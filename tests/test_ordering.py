@@ -38,6 +38,15 @@ def test_types_do_not_depend_on_how_the_dictionary_is_joined(spark):
     docs = spark.createDataFrame([(i % 50 if i % 7 else None, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
     markers = lambda: ["".join(random.choice(letters[:6]) for _ in range(random.randint(0, 4))) for _ in range(3)]
     kinds = spark.createDataFrame([(f"k{i}", markers() + ["аб", "аб", None], i) for i in range(8)], "canonical string, markers array<string>, priority int")
-    small = sorted(map(str, extract.match_types(docs, ["doc_id"], kinds).collect()))
-    large = sorted(map(str, extract.match_types(docs, ["doc_id"], kinds, broadcast=0).collect()))
-    assert small and small == large
+    docs = docs.withColumn("name", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Аб в"), F.col("doc_id").cast("string"))))
+    for name in (None, "name"):
+        small = sorted(map(str, extract.match_types(docs, ["doc_id"], kinds, filename=name).collect()))
+        large = sorted(map(str, extract.match_types(docs, ["doc_id"], kinds, filename=name, broadcast=0).collect()))
+        assert small and small == large
+
+
+def test_type_in_the_file_name_alone(spark):
+    docs = spark.createDataFrame([(1, "прочее", "Акт сверки 5.pdf"), (2, "x\n" * 9 + "акт сверки", "Акт сверки.pdf"), (3, "прочее", "акт.pdf"), (4, None, "счёт-фактура.pdf")], "id long, text string, name string")
+    kinds = spark.createDataFrame([("Акт", ["акт сверки", "акт"], 5), ("Счёт", ["счёт-фактура"], 5)], "canonical string, markers array<string>, priority int")
+    got = {(r["id"], r["canonical"]): (r["hits"], round(r["confidence"], 4)) for r in extract.match_types(docs, ["id"], kinds, filename="name").collect()}
+    assert got == {(1, "Акт"): (0, 0.82), (2, "Акт"): (2, 0.91), (4, "Счёт"): (0, 0.82)}
