@@ -59,12 +59,16 @@ def xml_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's events as points of a track, written as GPX and read back."""
+    """A user's events as points of a track and way points in turn, every fourth without a time, written as GPX and read back."""
     events = table(spark, sf_dir, "events")
-    point = F.concat(F.lit('<trkpt lat="'), F.round(F.col("value") / 10, 3).cast("string"), F.lit('" lon="'), (F.col("event_id") % 90).cast("string"), F.lit('"><time>'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("</time></trkpt>"))
+    k = F.col("event_id")
+    kind = F.when(k % 2 == 0, "trkpt").otherwise("wpt")
+    stamp = F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("<time> "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("</time>")))
+    point = F.concat(F.lit("<"), kind, F.lit(' lat="'), F.round(F.col("value") / 10, 3).cast("string"), F.lit("\" lon='"), (k % 90).cast("string"), F.lit("'>"), stamp, F.lit("</"), kind, F.lit(">"))
     tracks = events.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", point.alias("p")))), lambda s: s["p"]), "").alias("body"))
-    points = profiles.track_points(tracks.select("user_id", F.concat(F.lit("<gpx>"), "body", F.lit("</gpx>")).alias("x")), "user_id", "x")
-    return profiles.track_summary(points, "user_id").withColumn("km", F.round("km", 3))
+    gpx = tracks.select("user_id", F.concat(F.lit("<gpx><!-- <name>no</name> --><name>way of "), F.col("user_id").cast("string"), F.lit("</name><trkpt lat='x' lon='1'/>"), "body", F.lit("<trkpt lat=")).alias("x"))
+    told = profiles.track_summary(profiles.track_points(gpx, "user_id", "x"), "user_id").withColumn("km", F.round("km", 3))
+    return told.join(gpx.select("user_id", profiles.track_name(F.col("x")).alias("name")), "user_id")
 
 
 def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +147,8 @@ ORACLE_SQL = {
     "track_length": """
         WITH p AS (SELECT user_id, event_id, ts, round(value / 10, 3) AS lat, event_id % 90 AS lon, lag(round(value / 10, 3)) OVER w AS a, lag(event_id % 90) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
         SELECT user_id, count(*) AS n_points, round(sum(CASE WHEN a IS NULL THEN 0 ELSE 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lon - b) / 2), 2)))) END), 3) AS km,
-               strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_ts FROM p GROUP BY user_id""",
+               strftime(min(ts) FILTER (event_id % 4 <> 0), '%Y-%m-%dT%H:%M:%S') AS first_ts, strftime(max(ts) FILTER (event_id % 4 <> 0), '%Y-%m-%dT%H:%M:%S') AS last_ts,
+               'way of ' || user_id AS name FROM p GROUP BY user_id""",
     "html_meta": """
         SELECT page_id, 'description=' || CASE WHEN page_id % 5 = 0 THEN 'later' || page_id ELSE 'of > ' || page_id || ' name=x' END || '|og:url=u&' || page_id AS meta FROM pages""",
     "kml_summary": """

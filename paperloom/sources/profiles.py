@@ -98,12 +98,35 @@ def xml_profile(df: DataFrame, xml: str, nodes: int = 4000) -> DataFrame:
     return df.withColumns({"root": F.regexp_extract(xml, r"<([A-Za-z][\w:.-]*)", 1), "texts": F.slice(xml_texts(F.col(xml)), 1, nodes)})
 
 
+#: A point of a track, route or way, with what is inside it.
+POINT = r"(?is)<(?:\w+:)?(trkpt|wpt|rtept)(?:\s[^>]*?)?(?:/>|>(.*?)</(?:\w+:)?\1\s*>)"
+
+
+def _inside(xml: Column, tags: str) -> Column:
+    """array<string>: the texts that are not blank of the elements of these names, in order."""
+    found = F.regexp_extract_all(xml, F.lit(rf"(?i)<(?:\w+:)?(?:{tags})(?:\s[^>]*)?>([^<]*)<"), F.lit(1))
+    return F.filter(F.transform(found, lambda t: F.trim(decoded(t))), lambda t: t != "")
+
+
+def track_name(xml: Column) -> Column:
+    """The first name in a GPX or KML text; empty if there is none."""
+    return F.coalesce(F.get(_inside(F.regexp_replace(xml, r"(?s)<!--.*?-->", ""), "name"), F.lit(0)), F.lit(""))
+
+
 def track_points(df: DataFrame, ident: str, xml: str) -> DataFrame:
-    """(ident, seq, lat, lon, ts) of a GPX text's points in file order, by Spark's XPath."""
-    at = lambda path: F.xpath(F.col(xml), F.lit(path))
-    zipped = F.arrays_zip(at("//trkpt/@lat").alias("lat"), at("//trkpt/@lon").alias("lon"), at("//trkpt/time/text()").alias("ts"))
-    rows = df.select(ident, F.posexplode(zipped).alias("seq", "p"))
-    return rows.select(ident, "seq", F.col("p.lat").cast("double").alias("lat"), F.col("p.lon").cast("double").alias("lon"), F.col("p.ts").alias("ts"))
+    """(ident, seq, lat, lon, ts) of a GPX text's points in file order; points without two numbers are passed over.
+
+    Read by patterns: a torn text gives the points before the tear and doesn't stop the job.
+    """
+
+    def point(element: Column) -> Column:
+        found = F.regexp_extract_all(F.regexp_extract(element, "^<[^>]*>", 0), F.lit(ATTRIBUTE), F.lit(0))
+        place = {name: _attribute(found, name).try_cast("double") for name in ("lat", "lon")}
+        return F.struct(*[value.alias(name) for name, value in place.items()], F.get(_inside(element, "time"), F.lit(0)).alias("ts"))
+
+    elements = F.regexp_extract_all(F.regexp_replace(F.col(xml), r"(?s)<!--.*?-->", ""), F.lit(POINT), F.lit(0))
+    kept = F.filter(F.transform(elements, point), lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+    return df.select(ident, F.posexplode(kept).alias("seq", "p")).select(ident, "seq", "p.lat", "p.lon", "p.ts")
 
 
 def track_summary(points: DataFrame, track: str) -> DataFrame:
@@ -119,16 +142,13 @@ def track_summary(points: DataFrame, track: str) -> DataFrame:
 def kml_summary(df: DataFrame, xml: str, times: int = 5) -> DataFrame:
     """Add kml_name (the first name), placemarks, first_coordinate and the first `times` timestamps of a KML text."""
     body = F.regexp_replace(F.coalesce(F.col(xml), F.lit("")), r"(?s)<!--.*?-->", "")
-    of = lambda tag: F.filter(
-        F.transform(F.regexp_extract_all(body, F.lit(rf"(?i)<(?:\w+:)?(?:{tag})(?:\s[^>]*)?>([^<]*)<"), F.lit(1)), lambda t: F.trim(decoded(t))), lambda t: t != ""
-    )
     first = lambda values: F.coalesce(F.get(values, F.lit(0)), F.lit(""))
     return df.withColumns(
         {
-            "kml_name": first(of("name")),
+            "kml_name": track_name(body),
             "placemarks": F.regexp_count(body, F.lit(r"(?i)<(?:\w+:)?placemark(?=[\s/>])")),
-            "first_coordinate": F.regexp_extract(first(of("coordinates")), r"^\S+", 0),
-            "timestamps": F.slice(of("when|begin|end"), 1, times),
+            "first_coordinate": F.regexp_extract(first(_inside(body, "coordinates")), r"^\S+", 0),
+            "timestamps": F.slice(_inside(body, "when|begin|end"), 1, times),
         }
     )
 
