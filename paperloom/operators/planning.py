@@ -141,7 +141,10 @@ def renamed_on(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def undo_plan(records: DataFrame, now: DataFrame) -> DataFrame:
-    """One row for each record, in reverse order: ok, or why it can't be undone."""
+    """One row for each record, in reverse order of seq (an integer): ok, or why it can't be undone.
+
+    `turn` numbers a session's records in blocks of 65,536 seqs, so that no task holds a whole session.
+    """
     current = now.select(F.col("path").alias("new_path"), F.col("sha256").alias("_sha"))
     original = now.select(F.col("path").alias("old_path"), F.lit(True).alias("_busy"))
     joined = records.join(current, "new_path", "left").join(original, "old_path", "left")
@@ -156,7 +159,8 @@ def undo_plan(records: DataFrame, now: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     told = joined.withColumn("undo", state).drop("_sha", "_busy")
-    return numbered(told, "session", [F.col("seq").desc()], "turn")
+    block = F.coalesce(-F.shiftright(F.col("seq").cast("long"), 16), F.lit((1 << 63) - 1))
+    return numbered(told, "session", [F.col("seq").desc()], "turn", block)
 
 
 def incomplete_sessions(records: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from paperloom.operators import extract, planning
 def test_numbers_of_one_large_group_and_a_null_group(spark):
     rows = [(None if i % 10 == 0 else "hot" if i % 3 else f"g{i % 4}", i * 7919 % 4001, i) for i in range(4000)]
     table = spark.createDataFrame(rows, "g string, v long, i long")
-    got = {r["i"]: r["n"] for r in numbered(table, "g", [F.col("v").desc(), F.col("i")], "n").collect()}
+    order = [F.col("v").desc(), F.col("i")]
+    got = {r["i"]: r["n"] for r in numbered(table, "g", order, "n").collect()}
+    assert got == {r["i"]: r["n"] for r in numbered(table, "g", order, "n", -F.shiftright("v", 8)).collect()}
     want = {}
     for g in {r[0] for r in rows}:
         for n, (_, i) in enumerate(sorted((-v, i) for h, v, i in rows if h == g), 1):
