@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table as _table
-from . import hostrules, htmlcrf, licenses, mixing, pieces, secrets, sharding, simhash, substrings, winnowing
+from . import hostrules, htmlcrf, importance, licenses, mixing, pieces, secrets, sharding, simhash, substrings, urlfilter, vectorcodes, winnowing
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +167,89 @@ def op4_htmlcrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlcrf.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql() -> str:
+    """All distances of all parts to all entries by dot products, round by round."""
+    nearest = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, part, w, min(d * 256 + e) % 256 AS e, min(d * 256 + e) // 256 AS d FROM (
+    SELECT vec_id, p.part, p.w, b.e,
+           CAST(list_dot_product(p.w, p.w) - 2 * list_dot_product(p.w, b.c) + list_dot_product(b.c, b.c) AS BIGINT) AS d
+    FROM p JOIN b{r} b ON b.part = p.part) GROUP BY ALL)"""
+    updated = """
+b{n} AS MATERIALIZED (
+  SELECT b.part, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (
+    SELECT part, e, list(floor(s / n) ORDER BY i) AS c FROM (
+      SELECT part, e, i, sum(w[i]) AS s, count(*) AS n FROM a{r}, range(1, 17) t(i) GROUP BY ALL) GROUP BY ALL) m
+    ON m.part = b.part AND m.e = b.e)"""
+    rounds = vectorcodes.ROUNDS
+    steps = ",".join(nearest.format(r=r) + "," + updated.format(r=r, n=r + 1) for r in range(rounds)) + "," + nearest.format(r=rounds)
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, v[16 * part + 1:16 * part + 16] AS w FROM k, range(4) t(part)),
+b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, w AS c
+  FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)),{steps},
+coded AS (
+  SELECT vec_id, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id),
+books AS (
+  SELECT sha256(string_agg(array_to_string(c::BIGINT[], ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN k USING (vec_id) CROSS JOIN books
+"""
+
+
+def op12_urltrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: Features as text; the CRC of each different one byte by byte, by the table that its polynomial gives.
+OP13_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+w AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (
+  SELECT kind, id, unnest(words) AS feature FROM w
+  UNION ALL
+  SELECT kind, id, words[i] || ' ' || words[i + 1] FROM (SELECT kind, id, words, unnest(range(1, len(words))) AS i FROM w)),
+each AS (SELECT kind, id, feature, count(*) AS n FROM f GROUP BY ALL),
+hashed AS (
+  SELECT feature, xor(list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM each)) CROSS JOIN crc),
+bucketed AS (SELECT kind, id, bucket, sum(n) AS n FROM each JOIN hashed USING (feature) GROUP BY ALL),
+sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t FROM bucketed GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM sums) + 10000))::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000))::DOUBLE)) AS BIGINT) AS gain
+  FROM sums),
+means AS (
+  SELECT id AS doc_id, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS n_features
+  FROM bucketed JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(words) >= 20 AS able,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN means ON means.doc_id = w.id WHERE kind = 'd'),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_hostrules": op2_hostrules,
@@ -178,5 +261,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_pieces": op10_pieces,
+    "op11_vectorcodes": op11_vectorcodes,
+    "op12_urltrees": op12_urltrees,
+    "op13_importance": op13_importance,
 }
-ORACLE_SQL: dict[str, str] = {"op2_hostrules": OP2_SQL, "op5_mixing": OP5_SQL, "op6_substrings": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_hostrules": OP2_SQL, "op5_mixing": OP5_SQL, "op6_substrings": OP6_SQL, "op11_vectorcodes": _op11_sql(), "op13_importance": OP13_SQL}
