@@ -63,6 +63,24 @@ def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none)), none)
 
 
+#: Characters of a block of a long text.
+BLOCK = 2048
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks of BLOCK characters, so that cutting pieces out of it takes no longer near its end."""
+    n = F.floor(F.length(text) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def cut(parts: Column, low: Column, high: Column) -> Column:
+    """Characters `low` to `high` (exclusive, at most BLOCK apart) of a text in blocks; what lies before or behind it is nothing."""
+    first = F.greatest(low, F.lit(0))
+    at = F.floor(first / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(parts, at), F.lit("")), F.coalesce(F.get(parts, at + 1), F.lit("")))
+    return F.substring(two, first - at * BLOCK + 1, F.greatest(high - first, F.lit(0)))
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

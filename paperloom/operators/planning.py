@@ -191,25 +191,44 @@ def override(plan: DataFrame, chosen: DataFrame, folder: str = "dir") -> DataFra
     return told.select(*plan.columns, "override")
 
 
-def upsert(plan: DataFrame, fresh: DataFrame, folder: str = "dir", key: str = "name") -> DataFrame:
+def upsert(plan: DataFrame, fresh: DataFrame, folder: str = "dir", key: str = "name", order: Column | None = None) -> DataFrame:
     """The plan with the rows of `fresh` in place of its own (by folder and key); rows that the plan lacks are left out.
 
-    A fresh row whose target another row of the folder has is not selected and says so. Add updated.
+    Rows are replaced in `order` (over the plan's columns; by key if there is none). A fresh row whose target another row
+    of the folder has at that moment is not selected and says so: a row that stays, one that was replaced before it, by
+    its new target, or one that is replaced later, by its old one. Add updated.
     """
-    hit = fresh.join(plan.select(folder, key), [folder, key], "left_semi").select(*plan.columns)
-    others = plan.select(folder, F.lower("target").alias("_fold"), F.col(key).alias("_other"))
-    taken = hit.select(folder, key, F.lower("target").alias("_fold")).join(others, [folder, "_fold"]).where(f"_other <> {key}")
-    taken = taken.select(folder, key).distinct().withColumn("_taken", F.lit(True))
-    told = hit.join(taken, [folder, key], "left").withColumns(
+    turn = F.struct((order if order is not None else F.col(key)).alias("o"), F.col(key).alias("k"))
+    rows = plan.select(*plan.columns, turn.alias("_turn"))
+    hit = fresh.select(*plan.columns).join(rows.select(folder, key, "_turn"), [folder, key])
+    gone = hit.select(folder, key, F.lit(True).alias("_gone"))
+    old = rows.join(gone, [folder, key], "left").select(folder, F.lower("target").alias("_fold"), "_turn", F.coalesce("_gone", F.lit(False)).alias("_gone"), F.lit(False).alias("_new"))
+    claims = old.unionByName(hit.select(folder, F.lower("target").alias("_fold"), "_turn", F.lit(True).alias("_gone"), F.lit(True).alias("_new")))
+    held = claims.groupBy(folder, "_fold").agg(
+        F.count_if(~F.col("_gone")).alias("_stay"), F.min(F.when(F.col("_new"), F.col("_turn"))).alias("_first"), F.max(F.when(F.col("_gone") & ~F.col("_new"), F.col("_turn"))).alias("_last")
+    )
+    told = hit.withColumn("_fold", F.lower("target")).join(held, [folder, "_fold"])
+    taken = F.coalesce((F.col("_stay") > 0) | (F.col("_first") < F.col("_turn")) | (F.col("_last") > F.col("_turn")), F.lit(False))
+    told = told.withColumn("_taken", taken).withColumns(
         {
-            "selected": F.col("selected") & F.col("_taken").isNull(),
+            "selected": F.col("selected") & ~F.col("_taken"),
             "status": F.when(F.col("_taken"), "NAME_COLLISION_RESOLVED").otherwise(F.col("status")),
         }
     )
-    kept = plan.join(hit.select(folder, key), [folder, key], "left_anti").select(*plan.columns, F.lit(False).alias("updated"))
+    kept = plan.join(gone, [folder, key], "left_anti").select(*plan.columns, F.lit(False).alias("updated"))
     return kept.unionByName(told.select(*plan.columns, F.lit(True).alias("updated")))
 
 
+def counters(plan: DataFrame) -> DataFrame:
+    """Rows of a plan by status, and how many of them are selected."""
+    return plan.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if("selected").alias("n_selected"))
+
+
+def selected_rows(plan: DataFrame, source: str = "name") -> DataFrame:
+    """The rows that a rename would act on: selected, and with another name than before."""
+    return plan.where(F.col("selected") & (F.col(source) != F.col("target")))
+
+
 def metadata_preserved(size_before: Column, size_after: Column, time_before: Column, time_after: Column) -> Column:
     """Equal sizes and times within a second; what is unknown counts as preserved."""
     same_size = F.coalesce(size_before == size_after, F.lit(True))

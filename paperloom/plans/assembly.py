@@ -78,7 +78,18 @@ def plan_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = orders.withColumn("_least", other).where("o_orderkey % 3 = 0")
     target = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("tn"), F.col("_least").cast("string"))).otherwise(F.concat(F.lit("new"), name))
     fresh = fresh.select(F.col("o_custkey").alias("dir"), name.alias("name"), target.alias("target"), F.lit(True).alias("selected"), F.lit("OK").alias("status"))
-    return planning.upsert(plan, fresh)
+    return planning.upsert(plan, fresh, order=F.substring("name", 2, 20).cast("long"))
+
+
+def plan_upsert_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second row of a folder is analysed again; half of those want one new name, the others that of a row that is replaced, too."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    name = F.concat(F.lit("n"), F.col("o_orderkey").cast("string"))
+    plan = orders.select(F.col("o_custkey").alias("dir"), name.alias("name"), F.concat(F.lit("T"), name).alias("target"), F.lit(True).alias("selected"), F.lit("OK").alias("status"))
+    again = orders.where("o_orderkey % 2 = 0").withColumn("_next", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    target = F.when(F.col("o_orderkey") % 4 == 0, F.when(F.col("o_orderkey") % 3 == 0, "X.txt").otherwise("x.TXT")).otherwise(F.concat(F.lit("tN"), F.coalesce("_next", "o_orderkey").cast("string")))
+    fresh = again.select(F.col("o_custkey").alias("dir"), name.alias("name"), target.alias("target"), F.lit(True).alias("selected"), F.lit("OK").alias("status"))
+    return planning.upsert(plan, fresh, order=F.substring("name", 2, 20).cast("long"))
 
 
 def history_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +169,7 @@ def reader_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fact_assembly, category_names, person_report, large_images, metadata_preserved, plan_upsert, history_merge, top_candidates, name_candidates,
+        fact_assembly, category_names, person_report, large_images, metadata_preserved, plan_upsert, plan_upsert_clash, history_merge, top_candidates, name_candidates,
         distinct_in_order, size_labels, sheet_subjects, opening_types, run_fact_sharing, finalize_text, reader_registry,
     )
 }
@@ -206,9 +217,19 @@ ORACLE_SQL = {
     "metadata_preserved": """SELECT l_orderkey, l_linenumber, (l_linenumber = 3 OR l_orderkey % 7 <> 0) AND (l_linenumber % 2 = 0 OR l_quantity > 25) AS preserved FROM lineitem""",
     "plan_upsert": """
         WITH o AS (SELECT o_custkey AS dir, o_orderkey AS k, min(o_orderkey) OVER (PARTITION BY o_custkey) AS least FROM orders),
-        f AS (SELECT *, CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 'tn' || least WHEN k % 3 = 0 THEN 'newn' || k ELSE 'Tn' || k END AS target, k % 3 = 0 AS updated FROM o)
-        SELECT dir, 'n' || k AS name, target, NOT (updated AND k % 2 = 0 AND k <> least) AS selected,
-               CASE WHEN updated AND k % 2 = 0 AND k <> least THEN 'NAME_COLLISION_RESOLVED' ELSE 'OK' END AS status, updated FROM f""",
+        f AS (SELECT *, 'Tn' || k AS old, CASE WHEN k % 2 = 0 THEN 'tn' || least ELSE 'newn' || k END AS new, k % 3 = 0 AS updated FROM o),
+        t AS (SELECT f.*, updated AND EXISTS (SELECT 1 FROM f g WHERE g.dir = f.dir AND g.k <> f.k
+                AND lower(CASE WHEN g.updated AND g.k < f.k THEN g.new ELSE g.old END) = lower(f.new)) AS taken FROM f)
+        SELECT dir, 'n' || k AS name, CASE WHEN updated THEN new ELSE old END AS target, NOT taken AS selected,
+               CASE WHEN taken THEN 'NAME_COLLISION_RESOLVED' ELSE 'OK' END AS status, updated FROM t""",
+    "plan_upsert_clash": """
+        WITH o AS (SELECT o_custkey AS dir, o_orderkey AS k, o_orderkey % 2 = 0 AS updated, 'Tn' || o_orderkey AS old FROM orders),
+        n AS (SELECT dir, k, lead(k) OVER (PARTITION BY dir ORDER BY k) AS nk FROM o WHERE updated),
+        f AS (SELECT o.*, CASE WHEN k % 4 = 0 THEN CASE WHEN k % 3 = 0 THEN 'X.txt' ELSE 'x.TXT' END ELSE 'tN' || coalesce(nk, k) END AS new FROM o LEFT JOIN n USING (dir, k)),
+        t AS (SELECT f.*, updated AND EXISTS (SELECT 1 FROM f g WHERE g.dir = f.dir AND g.k <> f.k
+                AND lower(CASE WHEN g.updated AND g.k < f.k THEN g.new ELSE g.old END) = lower(f.new)) AS taken FROM f)
+        SELECT dir, 'n' || k AS name, CASE WHEN updated THEN new ELSE old END AS target, NOT taken AS selected,
+               CASE WHEN taken THEN 'NAME_COLLISION_RESOLVED' ELSE 'OK' END AS status, updated FROM t""",
     "history_merge": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey",
     "top_candidates": """
         SELECT doc_id, kind, value, position, confidence FROM (
@@ -232,7 +253,7 @@ ORACLE_SQL = {
                CASE WHEN doc_id % 3 = 0 THEN 0.8 WHEN kind = 'Договор займа' OR kind LIKE 'Акт%' THEN 0.7 ELSE 0 END::DOUBLE AS confidence FROM r""",
     "run_fact_sharing": _R + """
         , q AS (SELECT *, doc_id % 3 = 0 AS t, doc_id % 5 = 0 AS d, doc_id % 2 = 0 AS p FROM r),
-        n AS (SELECT custkey, arg_min(doc_id, CASE WHEN t THEN 0 ELSE 4 END + CASE WHEN d THEN 0 ELSE 2 END + CASE WHEN p THEN 0 ELSE 1 END + doc_id / 1e12) AS donor FROM q WHERE t OR d GROUP BY custkey),
+        n AS (SELECT custkey, arg_min(doc_id, CASE WHEN t THEN 0 ELSE 4 END + CASE WHEN p THEN 0 ELSE 2 END + CASE WHEN d THEN 0 ELSE 1 END + doc_id / 1e12) AS donor FROM q WHERE t OR d GROUP BY custkey),
         j AS (SELECT q.*, donor, x.kind AS xk, x.doc_date AS xd, x.t AS xt, x.d AS xdate, x.p AS xp, x.person AS xperson, donor IS NULL OR donor = q.doc_id AS own
               FROM q LEFT JOIN n USING (custkey) LEFT JOIN q x ON x.doc_id = donor)
         SELECT doc_id, CASE WHEN own THEN CASE WHEN t THEN kind ELSE '' END WHEN xt THEN xk ELSE '' END AS type,

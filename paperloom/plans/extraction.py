@@ -58,6 +58,38 @@ def extract_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("value").alias("person"), "role")
 
 
+#: Names of lists: surname, first name, patronymic.
+LISTED = (
+    "Иванов Иван Иванович", "Петров Пётр Олегович", "Сидоров Семён Павлович", "Кузнецов Андрей Борисович", "Орлов Глеб Денисович",
+    "Соколов Егор Захарович", "Волков Кирилл Львович", "Зайцев Матвей Никитич",
+)
+OFFICES = ("управление образования города", "министерство культуры края", "отдел судебных приставов", "прокуратура области")
+
+
+def person_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lists of one to eight names: initials behind, signatures one below the other, initials in front, capitals."""
+    k = F.col("o_orderkey")
+    full = F.slice(F.array(*map(F.lit, LISTED)), 1, (k % 8 + 1).cast("int"))
+    part = lambda n, i: F.split(n, " ")[i]
+    initials = lambda n: F.concat(F.left(part(n, 1), F.lit(1)), F.lit("."), F.left(part(n, 2), F.lit(1)), F.lit("."))
+    behind = F.transform(full, lambda n: F.concat_ws(" ", part(n, 0), initials(n)))
+    front = F.transform(full, lambda n: F.concat_ws(" ", initials(n), part(n, 0)))
+    form = F.floor(k / 8) % 4
+    body = F.when(form == 0, F.array_join(behind, " ")).when(form == 1, F.array_join(front, "\n")).when(form == 2, F.array_join(front, ", ")).otherwise(F.array_join(F.transform(full, F.upper), ", "))
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Присутствовали: "), body).alias("text"))
+    return extract.extract_persons(docs, ["o_orderkey"]).select("o_orderkey", F.col("value").alias("person"))
+
+
+def organization_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lists of companies and authorities."""
+    k = F.col("o_orderkey")
+    offices = F.array_join(F.slice(F.array(*map(F.lit, OFFICES)), 1, (k % 4 + 1).cast("int")), " и ")
+    number = (k % 1000).cast("string")
+    company = F.concat(F.lit("ООО «Альфа "), number, F.lit("», общество с ограниченной ответственностью «Бета "), number, F.lit("»"))
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Стороны: "), company, F.lit(", "), offices).alias("text"))
+    return extract.extract_organizations(docs, ["o_orderkey"]).select("o_orderkey", F.col("value").alias("organization"), "role")
+
+
 def doc_type_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = spark.createDataFrame(
         [("Договор займа", ["договор займа"], 9), ("Договор", ["договор"], 5), ("Акт", ["акт сверки", "акт"], 5), ("Иск", ["исковое заявление"], 8), ("Постановление", ["постановление"], 7)],
@@ -77,7 +109,7 @@ def table_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_dates, pick_document_date, extract_identifiers, pick_identifier, pick_case_numbers, taxid_checksum, extract_amounts, extract_persons,
+        extract_dates, pick_document_date, extract_identifiers, pick_identifier, pick_case_numbers, taxid_checksum, extract_amounts, extract_persons, person_lists, organization_lists,
         doc_type_match, table_period,
     )
 }
@@ -102,6 +134,15 @@ ORACLE_SQL = {
     "taxid_checksum": _R + " SELECT doc_id, true AS valid, false AS moved_valid FROM r",
     "extract_amounts": _R + " SELECT doc_id, CAST(amount AS DOUBLE) AS amount, 'RUB' AS currency, 1 AS rank FROM r WHERE amount > 0",
     "extract_persons": _R + " SELECT doc_id, person, 'applicant' AS role FROM r",
+    "person_lists": f"""
+        WITH n AS (SELECT i, ({list(LISTED)})[i] AS name FROM range(1, 9) t(i))
+        SELECT o_orderkey, CASE WHEN (o_orderkey // 8) % 4 = 3 THEN name
+            ELSE split_part(name, ' ', 1) || ' ' || left(split_part(name, ' ', 2), 1) || '.' || left(split_part(name, ' ', 3), 1) || '.' END AS person
+        FROM orders JOIN n ON i <= o_orderkey % 8 + 1""",
+    "organization_lists": f"""
+        SELECT o_orderkey, 'ООО "Альфа ' || (o_orderkey % 1000) || '"' AS organization, 'company' AS role FROM orders
+        UNION ALL SELECT o_orderkey, 'ООО "Бета ' || (o_orderkey % 1000) || '"', 'company' FROM orders
+        UNION ALL SELECT o_orderkey, ({list(OFFICES)})[i], 'authority' FROM orders JOIN range(1, 5) t(i) ON i <= o_orderkey % 4 + 1""",
     "doc_type_match": _R
     + """ SELECT doc_id, CASE kind WHEN 'Договор займа' THEN 'Договор займа' WHEN 'Акт сверки' THEN 'Акт' WHEN 'Исковое заявление' THEN 'Иск'
         ELSE 'Постановление' END AS doc_type FROM r""",

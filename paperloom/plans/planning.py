@@ -80,8 +80,7 @@ def rename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = rename_plan(spark, sf_dir)
-    return plan.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if("selected").alias("n_selected"))
+    return planning.counters(rename_plan(spark, sf_dir))
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD = "type string, session string, seq bigint, old_path string, new_path string, sha256 string, status string, completed boolean"
@@ -13,9 +13,40 @@ def journal_lines(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.struct(*records.columns)).alias("value"))
 
 
+#: What makes a record of a session one and the same.
+RECORD_KEY = ("session", "type", "seq")
+
+
 def append(records: DataFrame, folder: str) -> None:
-    """Append records to the journal, a folder for each session; a session that is written again replaces its own."""
-    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(folder)
+    """Append records to the journal, a folder for each session; the journal only grows.
+
+    Records that it has already (by RECORD_KEY) are not written again. Two writers at once, or a task that is run again
+    by a torn append, may still leave copies; `journal` folds them on reading.
+    """
+    spark = records.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        known = spark.read.schema(_stored(records)).parquet(folder).select(*RECORD_KEY).distinct()
+        same = [records[k].eqNullSafe(known[k]) for k in RECORD_KEY]
+        records = records.join(known, same[0] & same[1] & same[2], "left_anti")
+    records.withColumn("written", F.current_timestamp()).write.mode("append").partitionBy("session").parquet(folder)
+
+
+def _stored(records: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in [*records.dtypes, ("written", "timestamp")])
+
+
+def journal(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of a journal, each once: the one that was written first."""
+    rows = spark.read.parquet(folder)
+    turn = Window.partitionBy(*RECORD_KEY).orderBy("written", *[c for c in rows.columns if c not in (*RECORD_KEY, "written")])
+    return rows.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn", "written")
+
+
+def compact(spark: SparkSession, folder: str, to: str) -> None:
+    """Write a journal's records, each once, to another folder with few files a session."""
+    once = journal(spark, folder).withColumn("written", F.current_timestamp())
+    once.repartition("session").write.partitionBy("session").parquet(to)
 
 
 def recovered(lines: DataFrame, value: str = "value", schema: str = RECORD) -> DataFrame:

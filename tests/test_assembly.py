@@ -111,16 +111,39 @@ def test_plans_and_facts_are_written_and_read(spark, tmp_path):
     assert {(r["version"], r["target"]) for r in spark.read.parquet(str(tmp_path / "plan")).collect()} == {(1, "t"), (2, "u")}
     manifest.forensic(plan, plan.select("name"), str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report" / "plan")).count() == spark.read.parquet(str(tmp_path / "report" / "facts")).count() == 1
-    record = spark.createDataFrame([("s1", 1, "a")], "session string, seq int, old_path string")
+    record = spark.createDataFrame([("s1", "record", 1, "a")], "session string, type string, seq int, old_path string")
     manifest.append(record, str(tmp_path / "journal"))
     manifest.append(record, str(tmp_path / "journal"))
     assert spark.read.parquet(str(tmp_path / "journal")).count() == 1
+    manifest.append(spark.createDataFrame([("s1", 2, "b"), ("s1", 1, "a"), ("s2", 1, "c")], "session string, seq int, old_path string").withColumn("type", F.lit("record")).select("session", "type", "seq", "old_path"), str(tmp_path / "journal"))
+    manifest.compact(spark, str(tmp_path / "journal"), str(tmp_path / "compact"))
+    for place in ("journal", "compact"):
+        assert {(r["session"], r["seq"], r["old_path"]) for r in manifest.journal(spark, str(tmp_path / place)).collect()} == {("s1", 1, "a"), ("s1", 2, "b"), ("s2", 1, "c")}
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "a.TXT").write_text("x")
     assert [(r["name"], r["stem"], r["ext"], r["size"]) for r in files.scan(spark, str(tmp_path / "files")).collect()] == [("a.TXT", "a", ".txt", 1)]
     assert spark.range(1).select(naming.well_formed_name(F.lit("Договор займа Иванова")).alias("w")).first()["w"]
 
 
+def test_fresh_rows_of_a_plan_want_one_name(spark):
+    rows = lambda *r: spark.createDataFrame([("d", *x, True, "OK") for x in r], "dir string, name string, target string, selected boolean, status string")
+    plan = rows(("a", "1.txt"), ("b", "2.txt"), ("c", "3.txt"))
+    got = {r["name"]: (r["target"], r["selected"]) for r in planning.upsert(plan, rows(("a", "X.txt"), ("b", "x.TXT"), ("q", "Q.txt"))).collect()}
+    assert got == {"a": ("X.txt", True), "b": ("x.TXT", False), "c": ("3.txt", True)}
+    got = {r["name"]: r["selected"] for r in planning.upsert(plan, rows(("a", "2.TXT"), ("b", "1.txt"), ("c", "9.txt"))).collect()}
+    assert got == {"a": False, "b": True, "c": True}  # b's old name is still there when a is replaced, a's is not when b is
+    assert [r["name"] for r in planning.selected_rows(plan.withColumn("target", F.when(F.col("name") == "a", F.lit("a")).otherwise(F.col("target")))).orderBy("name").collect()] == ["b", "c"]
+
+
+def test_the_donor_of_a_run_has_people_before_a_date(spark):
+    fact = lambda v: (v, "regex", v, 0.9)
+    pages = [(1, 1, fact("Акт"), fact("2024-01-01"), []), (1, 2, fact("Акт"), None, ["Иванов"]), (2, 1, None, fact("2024-01-01"), []), (2, 2, fact("Иск"), None, [])]
+    df = spark.createDataFrame(pages, f"run int, page int, kind {assembly.FACT}, day {assembly.FACT}, people array<string>")
+    got = {(r["run"], r["page"]): (r["kind"] and r["kind"]["value"], r["day"], r["people"]) for r in assembly.share_in_run(df, "run", "page", ["kind", "day"], "people").collect()}
+    assert got[1, 1] == got[1, 2] == ("Акт", None, ["Иванов"])
+    assert got[2, 1] == got[2, 2] == ("Иск", None, [])
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "dir string, name string, target string, selected boolean, status string")
     assert planning.upsert(none, none).count() == 0

@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from paperloom.plans import catalog
@@ -19,7 +20,7 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the test tables
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if hasattr(value, "item"):
         value = value.item()
