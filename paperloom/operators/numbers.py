@@ -252,7 +252,7 @@ def candidates(places: DataFrame, keys: list[str], told: dict[str, Column]) -> D
     first = F.greatest(F.length("left") + F.col("at") - CONTEXT_WIDTH, F.lit(0))
     last = F.length("left") + F.col("at") + F.col("long") + CONTEXT_WIDTH
     position = F.col("start") + F.col("at")
-    sure = F.when(F.col("role") == "ambiguous_year", F.col("confidence")).otherwise(F.least(F.lit(0.99), F.col("confidence") + head_bonus(position, F.col("size"))))
+    sure = F.when((F.col("role") == "ambiguous_year") | (F.col("family") == "type"), F.col("confidence")).otherwise(F.least(F.lit(0.99), F.col("confidence") + head_bonus(position, F.col("size"))))
     return rows.select(*keys, "family", "kind", "value", "ord", position.alias("position"), sure.alias("confidence"), "role", squeeze(F.substring(around, first + 1, last - first)).alias("context"))
 
 
