@@ -30,10 +30,13 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame, folder: str = "dir"
     """Add target and collided: no two targets of a folder are equal ignoring case, nor equal to another existing name.
 
     The k-th claimant of a name takes its k-th free form (name, name_02, ...), where names that exist in
-    the folder are taken except a claimant's own. Families of names meet only if one's counted form is
-    another's proposal; just those folders go through the sequential rule, one group each.
+    the folder are taken except a claimant's own. Two families of names can meet only if one's proposal is a
+    counted form of the other's, so what they share is the name without any counters: families that do meet,
+    and those where a claimant already bears a form of its own name, are replayed in order with the names of
+    that base only, one group each. Other names of the folder are not touched by it.
     """
-    rows = plan.withColumn("_fold", fold(F.col(proposed)))
+    bases = lambda c: F.regexp_replace(fold(c), r"(?:_\d{2,})+(?=\.[^.]*$|$)", "")
+    rows = plan.withColumns({"_fold": fold(F.col(proposed)), "_base": bases(F.col(proposed))})
     family = Window.partitionBy(folder, "_fold").orderBy(order)
     rows = rows.withColumn("_k", F.row_number().over(family))
     # Only existing names that some family could want: the proposal itself or a counted form of it.
@@ -48,34 +51,45 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame, folder: str = "dir"
     own = fold(F.col(source))
     before = F.size(F.filter("_taken", lambda t, i: t - i <= F.col("_k")))
     rows = rows.withColumn("target", with_suffix(F.col(proposed), F.col("_k") + before))
-    # A folder whose families meet, or where a row's own name changes what is free for the next, is replayed in order.
-    made = rows.groupBy(folder, F.lower("target").alias("_t")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(folder)
-    odd = rows.where(F.array_contains(F.col("_names"), own)).select(folder)
+    # Where families meet, or a row's own name changes what is free for the next, their base is replayed in order.
+    base = [folder, "_base"]
+    made = rows.groupBy(*base, F.lower("target").alias("_t")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(*base)
+    odd = rows.where(F.array_contains(F.col("_names"), own)).select(*base)
     replay = made.unionByName(odd).distinct()
-    easy = rows.join(replay, folder, "left_anti").select(*plan.columns, "target")
-    hard = rows.join(replay, folder, "left_semi").select(*plan.columns)
-    if folder in existing.columns:
-        names = existing.join(replay, folder, "left_semi").groupBy(folder).agg(F.collect_set(fold(F.col(source))).alias("_held"))
-        hard = hard.join(names, folder, "left")
+    easy = rows.join(replay, base, "left_anti").select(*plan.columns, "target")
+    hard = rows.join(replay, base, "left_semi").select(*plan.columns, "_base")
+    names = existing.select(F.col(folder), bases(F.col(source)).alias("_base"), fold(F.col(source)).alias("_held")).join(replay, base, "left_semi")
+    names = names.select(F.col(folder).alias("_at"), F.col("_base").alias("_of"), "_held").distinct()
     columns = [*plan.columns, "target"]
     schema = ", ".join(f"`{n}` {t}" for n, t in [*plan.dtypes, ("target", "string")])
 
-    def in_turn(group: pd.DataFrame) -> pd.DataFrame:
-        held = set(group["_held"].iloc[0]) if group["_held"].iloc[0] is not None else set()
-        taken, targets = set(), []
+    def in_turn(group: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        blocked, taken, free, targets = set(names["_held"]), set(), {}, []
+
+        def form(name: str, k: int) -> str:
+            if k == 1:
+                return name
+            stem, dot, ext = name.rpartition(".")
+            return f"{stem}_{k:02d}.{ext}" if dot and stem else f"{name}_{k:02d}"
+
         group = group.sort_values(order)
-        for name, own_name in zip(group[proposed], group[source]):
-            blocked = (held - {own_name.lower()}) | taken
-            k, target = 1, name
-            while target.lower() in blocked:
+        for name, own in zip(group[proposed], group[source]):
+            low, own = name.lower(), own.lower()
+            k = free.get(low, 1)  # what was not free once never will be
+            while form(low, k) in blocked:
                 k += 1
-                stem, dot, ext = name.rpartition(".")
-                target = f"{stem}_{k:02d}.{ext}" if dot and stem else f"{name}_{k:02d}"
-            taken.add(target.lower())
-            targets.append(target)
+            free[low] = k
+            digits = own.rpartition(".")[0].rpartition("_")[2] if "." in own else own.rpartition("_")[2]
+            counted = 1 if own == low else int(digits) if digits.isdigit() and len(digits) < 10 else 0
+            if 0 < counted < k and form(low, counted) == own and own not in taken:
+                k = counted  # its own name stands in nobody's way but others'
+            targets.append(form(name, k))
+            taken.add(form(low, k))
+            blocked.add(form(low, k))
         return group.assign(target=targets)[columns]
 
-    solved = easy.unionByName(hard.groupBy(folder).applyInPandas(in_turn, schema))
+    replayed = hard.groupBy(*base).cogroup(names.groupBy("_at", "_of")).applyInPandas(in_turn, schema)
+    solved = easy.unionByName(replayed)
     return solved.withColumn("collided", F.col("target") != F.col(proposed))
 
 
