@@ -47,6 +47,17 @@ def ground_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.ground(docs.select("doc_id", raw.alias("raw")), docs, "doc_id", ["number", "kind"])
 
 
+def ground_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in other words, invented ones, and some without a quotation; dates that are the source's, or a day later."""
+    docs = rendered(spark, sf_dir)
+    k = F.col("doc_id") % 4
+    label = F.when(k == 0, F.concat(F.lit("Заявителя документы, "), F.lower("kind"))).when(k == 1, F.lit("Приговор суда присяжных")).when(k == 2, F.col("kind")).otherwise(F.lit("Bailiff order"))
+    quote = F.when(k == 2, F.lit("")).otherwise(F.concat(F.upper("kind"), F.lit("  №")))
+    day = F.date_add("doc_date", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).cast("string")
+    raw = F.to_json(F.struct(F.struct(label.alias("value"), quote.alias("evidence")).alias("label"), F.struct(day.alias("value"), F.lit("").alias("evidence")).alias("day")))
+    return facts.ground(docs.select("doc_id", raw.alias("raw")), docs, "doc_id", ["label", "day"], labels=("label",), dates=("day",))
+
+
 def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered texts as bytes of UTF-8, and of UTF-8 and UTF-16 in both orders with a mark in front."""
     docs = rendered(spark, sf_dir)
@@ -80,7 +91,7 @@ def json_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.array_join(profiles.json_fragments(text), "; ").alias("fragments"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_rows, explain_card, series_fact_sharing, prompt_context, ground_answers, decode_bytes, unread_run_names, date_sources, json_fragments)}
+QUERIES = {f.__name__: f for f in (evidence_rows, explain_card, series_fact_sharing, prompt_context, ground_answers, ground_labels, decode_bytes, unread_run_names, date_sources, json_fragments)}
 _R = f"WITH r AS ({SQL})"
 _OWN = "doc_id % 5 <> 0 AND doc_id % 3 <> 0"
 ORACLE_SQL = {
@@ -98,6 +109,10 @@ ORACLE_SQL = {
     "ground_answers": _R
     + """ SELECT doc_id, 'number' AS kind, CASE doc_id % 3 WHEN 0 THEN tax_id WHEN 1 THEN '0000000000' ELSE upper(person) END AS value, doc_id % 3 <> 1 AS supported FROM r
         UNION ALL SELECT doc_id, 'kind', kind, true FROM r""",
+    "ground_labels": _R
+    + """ SELECT doc_id, 'label' AS kind, CASE doc_id % 4 WHEN 0 THEN 'Заявителя документы, ' || lower(kind) WHEN 1 THEN 'Приговор суда присяжных' WHEN 2 THEN kind ELSE 'Bailiff order' END AS value,
+            doc_id % 4 = 0 AS supported FROM r
+        UNION ALL SELECT doc_id, 'day', CAST(CAST(doc_date + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS DATE) AS VARCHAR), doc_id % 3 <> 0 FROM r""",
     "decode_bytes": _R + " SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 2) THEN 'utf-16' ELSE 'utf-8' END AS encoding, sha256(text) AS text_sha256 FROM r",
     "unread_run_names": """
         WITH n AS (SELECT c_nationkey, bool_or(c_nationkey % 3 = 0 AND c_custkey % 2 = 0) AS known FROM customer GROUP BY 1)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from paperloom.operators import facts, folders, reports
@@ -76,3 +78,16 @@ def test_marks_and_declared_pages(spark):
     assert {i: got[i] for i in range(6)} == {0: ("utf-16", TEXT), 1: ("utf-16", TEXT), 2: ("utf-32", TEXT), 3: ("windows-1251", TEXT), 4: ("koi8-r", TEXT), 5: ("utf-8", TEXT)}
     assert got[6][0] in decoding.CODE_PAGES and got[6][1].endswith("abc")
     assert got[7][1] == "" and got[8] == (None, None)
+
+
+def test_labels_and_dates_of_answers(spark):
+    text = "ПОСТАНОВЛЕНИЕ\nо возбуждении исполнительного производства\n27 июля 2026 г.\nСудебный пристав-исполнитель. Должник: Иванов Иван Иванович"
+    said = [
+        ("kind", "Постановление судебного пристава", "ПОСТАНОВЛЕНИЕ", True), ("kind", "Приговор суда присяжных", "ПОСТАНОВЛЕНИЕ", False), ("kind", "Bailiff order", "order", False),
+        ("kind", "Постановление", "", False), ("day", "2026-07-27", "27 июля 2026", True), ("day", "2020-01-01", "01.01.2020", False), ("day", "27.07.2026", "", False),
+        ("who", "иванов, иван  ИВАНОВИЧ", "", True), ("who", "Сидоров Сидор", "Сидоров Сидор", False), ("who", "Иванов", "должник иванов", True),
+    ]
+    answers = spark.createDataFrame([(i, json.dumps({k: {"value": v, "evidence": e}}, ensure_ascii=False)) for i, (k, v, e, _) in enumerate(said)], "id int, raw string")
+    texts = answers.select("id", F.lit(text).alias("text"))
+    got = {r["id"]: r["supported"] for r in facts.ground(answers, texts, "id", ["kind", "day", "who"], labels=("kind",), dates=("day",)).collect()}
+    assert got == {i: ok for i, (*_, ok) in enumerate(said)}
