@@ -205,7 +205,7 @@ ORACLE_SQL = {
     "category_names": _F + """,
         n AS (SELECT *, regexp_replace(date, '^(\\d{4})-(\\d{2})-(\\d{2})', '\\3.\\2.\\1') AS day_in_name FROM a),
         p AS (SELECT *, CASE WHEN custkey % 4 = 0 THEN 'Иванов_И.И' WHEN custkey % 4 = 1 THEN 'Петрова_А.С' WHEN custkey % 4 = 2 THEN 'Сидоров_П.О' ELSE 'Кузнецова_М.И' END AS who FROM n)
-        SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'Договор_займа.dat' ELSE concat_ws('_',
+        SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'Договор займа' || CASE WHEN date_source = 'filesystem' OR (date_source = 'metadata' AND category IN ('document', 'archive')) THEN '' ELSE '_' || day_in_name END || '.dat' ELSE concat_ws('_',
             CASE WHEN media THEN NULL ELSE replace(type, ' ', '_') END,
             CASE WHEN NOT media AND category IN ('document', 'data', 'image') THEN number END,
             CASE WHEN category = 'email' THEN who WHEN NOT media AND category IN ('document', 'data', 'image') AND doc_id % 2 = 0 THEN who END,

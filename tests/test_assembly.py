@@ -149,3 +149,28 @@ def test_empty_tables(spark):
     assert planning.upsert(none, none).count() == 0
     pages = spark.createDataFrame([], f"run int, page int, kind {assembly.FACT}, people array<string>")
     assert assembly.share_in_run(pages, "run", "page", ["kind"], "people").count() == 0
+
+
+def test_names_that_people_gave_well_and_less_well(spark):
+    fact = lambda value, source="regex": (value, source, value, 0.9)
+    rows = [
+        ("Постановление по делу Иванова", fact("2026-08-18"), [], "Постановление по делу Иванова_18.08.2026.txt"),
+        ("Договор займа №17 от 18 августа 2026 года", fact("2026-08-18"), [], "Договор займа №17 от 18 августа 2026 года.txt"),
+        ("Акт 18-08-2026", fact("2026-08-18"), [], "Акт 18-08-2026.txt"),
+        ("Акт_8.9.2026", fact("2026-09-08"), [], "Акт_8.9.2026.txt"),
+        ("Заметки", fact("2026-08-18", "filesystem"), [], "Заметки.txt"),
+        ("Заметки", fact("2026-08-18", "metadata"), ["DATE_SOURCE_FILE_PROPERTY"], "Заметки.txt"),
+        ("Заметки: «план»?", None, [], "Заметки: «план»?.txt"),
+        ("Заметки: «план»", fact("2026-08-18"), [], "Заметки_ «план»_18.08.2026.txt"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"id int, stem string, day {assembly.FACT}, statuses array<string>, want string")
+    got = df.select("want", naming.preserved_name(F.col("stem"), F.lit(".txt"), F.col("day"), F.col("statuses")).alias("name")).collect()
+    assert [r["name"] for r in got] == [r["want"] for r in got]
+    first = df.where("id = 0").select(naming.preserved_name(F.col("stem"), F.lit(".txt"), F.col("day"), F.col("statuses"), date_first=True)).first()[0]
+    assert first == "18.08.2026_Постановление по делу Иванова.txt"
+    words = [
+        ("седой дом газ", ["Справка", "2026-03-15"], "седой дом газ"), ("скан Иванов паспорт копия 2", ["Иванов Иван Иванович"], "паспорт"), ("IMG_0032", [], None),
+        ("справка_15.03.2026_мосгаз", ["Справка", 'АО "Мосгаз"'], None), ("газ, дом  справка", ["справка", None], "газ, дом"),
+    ]
+    df = spark.createDataFrame([(i, *w) for i, w in enumerate(words)], "id int, stem string, known array<string>, want string")
+    assert [r[0] == r[1] for r in df.select(naming.own_words(F.col("stem"), F.col("known")), "want").collect()] == [True] * len(words)
