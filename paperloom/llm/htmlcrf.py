@@ -55,35 +55,69 @@ PART = re.compile(r"[a-z]+")
 ship_by_value(__name__)
 
 
-def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], frozenset[str], int, int]]:
-    """(text, open elements, words of their attributes, characters in links, place among siblings) of each leaf block."""
+class Open:
+    """An open element and what all elements down to it have in common; sets are shared with the parent where nothing is new."""
+
+    __slots__ = ("name", "mine", "tags", "words", "own", "linked", "hidden", "head", "path", "near")
+
+    def __init__(self, name: str, words: list[str], above: Open | None, at: int, paths: dict, known: frozenset[str] | None) -> None:
+        tags, held = (above.tags, above.words) if above else (frozenset(), frozenset())
+        more = {w for w in words if w not in held and (known is None or w in known)}
+        self.name, self.mine = name, words
+        self.tags = tags if name in tags else tags | {name}
+        self.words = held | more if more else held
+        self.own = name if name in BLOCK else above.own if above else None
+        self.linked = name == "a" or (above is not None and above.linked)
+        self.hidden = name in CONCEALED or (above is not None and above.hidden)
+        self.head = name == "head" or (above is not None and above.head)
+        self.path = paths.setdefault((above.path if above else 0, name), len(paths) + 1)  # one number for each sequence of names
+        self.near = at if name in BLOCK or name == "p" else above.near if above else -1  # the innermost block or paragraph
+
+
+#: What text outside all elements has.
+ROOT = Open("", [], None, -1, {}, None)
+ROOT.tags, ROOT.path = frozenset(), 0
+
+
+def blocks_of(page: str, known: frozenset[str] | None = None) -> list[tuple[str, Open, int]]:
+    """(text, innermost open element, characters in links) of each leaf block; of attributes' words only the known ones, if given.
+
+    Time and memory grow with the page, however deep its elements are nested.
+    """
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Open] = []
+    count: dict[str, int] = {}
+    paths: dict = {}
     parts: list[str] = []
     linked = 0
     at = 0
-    seen: dict[int, int] = {}
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip(" ")
-            if text and not any(t == "head" for t, _ in stack):
-                depth = len(stack)
-                seen[depth] = seen.get(depth, 0) + 1
-                words = frozenset(w for _, ws in stack for w in ws)
-                out.append((text, tuple(t for t, _ in stack), words, linked, seen[depth]))
+            if text and not (stack and stack[-1].head):
+                out.append((text, stack[-1] if stack else ROOT, linked))
             parts.clear()
         linked = 0
 
     def add(piece: str) -> None:
         nonlocal linked
-        if any(t in CONCEALED for t, _ in stack):
+        if stack and stack[-1].hidden:
             return
         parts.append(piece)
-        if any(t == "a" for t, _ in stack):
+        if stack and stack[-1].linked:
             linked += len(piece)
 
+    def push(name: str, words: list[str]) -> None:
+        stack.append(Open(name, words, stack[-1] if stack else None, len(stack), paths, known))
+        count[name] = count.get(name, 0) + 1
+
+    def cut(i: int) -> None:
+        for gone in stack[i:]:
+            count[gone.name] -= 1
+        del stack[i:]
+
     while True:
         tag = TAG.search(page, at)
         if tag is None:
@@ -99,37 +133,34 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], frozenset[str], int
         if name in BLOCK:
             flush()
         if tag[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if count.get(name):
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name))
             continue
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             if not tag[3].endswith("/"):
                 at = close.end() if close else len(page)
             continue
-        if name == "body":
-            stack[:] = [s for s in stack if s[0] == "html"]
-        if name in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+        if name == "body" and stack:
+            kept = [e.mine for e in stack if e.name == "html"] if count.get("html") else []
+            cut(0)
+            for words in kept:
+                push("html", words)
+        if name in CLOSES_P and count.get("p") and stack[stack[-1].near].name == "p":
+            cut(stack[-1].near)
         if name in SAME:
-            keepers = SAME[name].split()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in keepers:
-                    break
-                if stack[i][0] == name or {stack[i][0], name} <= {"dt", "dd"} or {stack[i][0], name} <= {"td", "th"}:
-                    del stack[i:]
-                    break
+            ends = next((pair for pair in ({"dt", "dd"}, {"td", "th"}) if name in pair), {name})
+            if any(count.get(e) for e in ends):
+                keepers = SAME[name].split()
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].name in keepers:
+                        break
+                    if stack[i].name in ends:
+                        cut(i)
+                        break
         if name in VOID or tag[3].endswith("/"):
             continue
-        words = tuple(w for m in ATTRIBUTE.finditer(tag[3]) for w in PART.findall((m[2] or m[3] or m[4] or "").lower()))
-        stack.append((name, words))
+        push(name, [w for m in ATTRIBUTE.finditer(tag[3]) for w in PART.findall((m[2] or m[3] or m[4] or "").lower())])
     flush()
     return out
 
@@ -137,17 +168,16 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], frozenset[str], int
 def features_of(blocks: list) -> list[list[str]]:
     """Names of the features that each block has."""
     out = []
-    for i, (text, tags, words, linked, place) in enumerate(blocks):
+    for i, (text, place, linked) in enumerate(blocks):
         n = len(text)
-        own = [t for t in tags if t in BLOCK]
-        names = [f"in:{t}" for t in set(tags) - {"html", "body"}] + [f"word:{w}" for w in words]
-        names.append(f"own:{own[-1] if own else 'none'}")
+        names = [f"in:{t}" for t in place.tags if t not in ("html", "body")] + [f"word:{w}" for w in place.words]
+        names.append(f"own:{place.own or 'none'}")
         names.append(f"length:{min(n.bit_length(), 10)}")
         names.append(f"links:{min(4, 5 * linked // max(1, n))}")
         names.append(f"stop:{text[-1] in '.!?…:;'}")
         names.append(f"mark:{any(c in text for c in '©»›·')}")
         names.append("first" if i == 0 else "last" if i == len(blocks) - 1 else "amid")
-        if i and blocks[i - 1][1] == tags:
+        if i and blocks[i - 1][1].path == place.path:
             names.append("as-before")
         out.append(names)
     return out
@@ -158,6 +188,7 @@ class Chain:
 
     def __init__(self, names: dict[str, int], nodes: np.ndarray, steps: np.ndarray) -> None:
         self.names, self.nodes, self.steps = names, nodes, steps
+        self.words = frozenset(n.removeprefix("word:") for n in names if n.startswith("word:"))
 
     def scores(self, features: list[list[str]]) -> np.ndarray:
         out = np.empty((len(features), 2))
@@ -184,7 +215,7 @@ class Chain:
         return labels[::-1]
 
     def text(self, page: str | None) -> str:
-        blocks = blocks_of(page or "")
+        blocks = blocks_of(page or "", self.words)
         if not blocks:
             return ""
         labels = self.decode(self.scores(features_of(blocks)))

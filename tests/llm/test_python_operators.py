@@ -355,3 +355,23 @@ def test_pieces_equal_the_library_and_round_trip(spark):
         assert r["n_pieces"] == len(r["ids"])
         assert r["round_trip"] == (r["back"] == text)
     assert pieces.encode(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_deeply_nested_pages_take_no_longer_a_byte():
+    import time
+
+    deep = 100_000
+    page = "".join(f'<div class="w{i % 10} v{i}">t{i} ' for i in range(deep))
+    began = time.time()
+    blocks = htmlcrf.blocks_of(page, frozenset({"w", "v"}))
+    assert len(blocks) == deep and blocks[-1][1].words == {"w", "v"} and blocks[-1][1].tags == {"div"} and blocks[-1][1].own == "div"
+    assert len(htmlcrf.blocks_of("<div>" * 50_000 + "</span> x <p>y" * 20_000)) == 20_001
+    assert len(htmlcrf.features_of(blocks)) == deep and time.time() - began < 30
+
+
+def test_open_elements_end_where_they_should():
+    told = lambda page: [(text, sorted(place.tags), place.own, linked) for text, place, linked in htmlcrf.blocks_of(page)]
+    assert told("a<p>b<div>c</div>d") == [("a", [], None, 0), ("b", ["p"], "p", 0), ("c", ["div"], "div", 0), ("d", [], None, 0)]
+    assert told("<ul><li>a<li>b</ul>c") == [("a", ["li", "ul"], "li", 0), ("b", ["li", "ul"], "li", 0), ("c", [], None, 0)]
+    assert told("<dl><dt>a<dd>b<dt>c") == [(x, ["d" + e, "dl"], "d" + e, 0) for x, e in (("a", "t"), ("b", "d"), ("c", "t"))]
+    assert told("<head>x<title>t</title></head><body><a href=u>link</a> y<svg>z</svg></i>") == [("link y", ["body"], "body", 4)]
