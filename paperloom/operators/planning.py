@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import numbered
+from ..functions.ordering import numbered, written
 
 #: Extensions that make files belong together.
 SIDECARS = (".xmp", ".aae", ".srt", ".thm", ".lrv")
@@ -50,12 +50,13 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame, folder: str = "dir"
     rows = rows.join(taken, [folder, "_fold"], "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
     own = fold(F.col(source))
     before = F.size(F.filter("_taken", lambda t, i: t - i <= F.col("_k")))
-    rows = rows.withColumn("target", with_suffix(F.col(proposed), F.col("_k") + before))
+    # Written down once, as the questions below and both ways of solving read it.
+    rows = written(rows.withColumn("target", with_suffix(F.col(proposed), F.col("_k") + before)))
     # Where families meet, or a row's own name changes what is free for the next, their base is replayed in order.
     base = [folder, "_base"]
     made = rows.groupBy(*base, F.lower("target").alias("_t")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(*base)
     odd = rows.where(F.array_contains(F.col("_names"), own)).select(*base)
-    replay = made.unionByName(odd).distinct()
+    replay = written(made.unionByName(odd).distinct())
     easy = rows.join(replay, base, "left_anti").select(*plan.columns, "target")
     hard = rows.join(replay, base, "left_semi").select(*plan.columns, "_base")
     names = existing.select(F.col(folder), bases(F.col(source)).alias("_base"), fold(F.col(source)).alias("_held")).join(replay, base, "left_semi")
