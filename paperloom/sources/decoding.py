@@ -60,28 +60,36 @@ def decode_bytes(df: DataFrame, content: str, out: str = "text", declared: str |
     Marked bytes that do not fit their mark are tried like the rest.
     """
     body = F.col(content)
-    told = df.withColumn("_mark", marked_encoding(body))
+    # A row's number keeps the filters below from being moved in front of what makes the content, which would make it anew for each use.
+    told = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_mark", marked_encoding(body))
     named = F.replace(F.lower(F.trim(F.col(declared))), F.lit("_"), F.lit("-")) if declared else F.lit(None).cast("string")
     told = told.withColumn("_named", F.when(~named.isin("", "utf-8", "utf8"), named))
-    easy = body.isNull() | (F.is_valid_utf8(body.cast("string")) & F.col("_mark").isNull() & F.col("_named").isNull())
-    right = told.where(easy).select(*df.columns)
-    right = right.withColumn(out, F.regexp_replace(body.cast("string"), "^\\uFEFF", "")).withColumn("encoding", F.when(body.isNotNull(), "utf-8"))
-    # In order: the page and how far it is trusted.
-    pages = [(F.col("_mark"), 1.0), (F.col("_named"), 0.95), (F.lit("utf-8"), 0.9), *[(F.lit(p), 0.55) for p in CODE_PAGES]]
-    tries = told.where(~easy)
-    for i, (page, _) in enumerate(pages):
-        tries = tries.withColumn(f"_try_{i}", _strictly(body, page))
-        tries = quality.with_quality(tries, f"_try_{i}").select(*tries.columns, F.col("score").alias(f"_score_{i}"))
-
-    def best(numbers: range) -> Column:
-        """The best of some pages, the first on ties; pages that do not fit come last."""
-        rank = lambda i: F.when(F.col(f"_try_{i}").isNotNull(), 0.7 * F.col(f"_score_{i}") + 0.3 * pages[i][1]).otherwise(-1.0)
-        return F.array_max(F.array(*[F.struct(rank(i).alias("s"), F.lit(-i).alias("i"), pages[i][0].alias("page"), F.col(f"_try_{i}").alias("t")) for i in numbers]))
-
-    good = lambda i: F.col(f"_try_{i}").isNotNull() & (F.col(f"_score_{i}") >= GOOD)
-    chosen = F.when(F.col("_try_0").isNotNull(), best(range(1))).when(good(1), best(range(1, 2))).when(good(2), best(range(1, 3))).otherwise(best(range(1, len(pages))))
-    found = tries.withColumn("_best", chosen).select(*df.columns, F.regexp_replace("_best.t", "^\\uFEFF", "").alias(out), F.col("_best.page").alias("encoding"))
-    return right.unionByName(found)
+    easy = F.is_valid_utf8(body.cast("string")) & F.col("_mark").isNull() & F.col("_named").isNull()
+    # Only marked rows go to Python here; what fits its mark needs no other page and no score.
+    told = told.withColumn("_marked", _strictly(F.when(F.col("_mark").isNotNull(), body), F.col("_mark")))
+    read = lambda text, page: F.struct(text.alias("t"), page.alias("page"))
+    nothing = read(F.lit(None).cast("string"), F.lit(None).cast("string"))
+    sure = F.when(body.isNull(), nothing).when(easy, read(body.cast("string"), F.lit("utf-8"))).when(F.col("_marked").isNotNull(), read(F.col("_marked"), F.col("_mark")))
+    told = told.withColumn("_best", sure)
+    right, tries = told.where(F.col("_best").isNotNull() & (F.col("_row") >= 0)), told.where(F.col("_best").isNull() & (F.col("_row") >= 0))
+    # In order: the page and how far it is trusted. One row a try, so that quality stands in the plan once.
+    pages = [(F.col("_named"), 0.95), (F.lit("utf-8"), 0.9), *[(F.lit(p), 0.55) for p in CODE_PAGES]]
+    listed = F.array(*[F.struct(page.alias("page"), F.lit(trust).alias("trust")) for page, trust in pages])
+    each = tries.select(*df.columns, "_row", F.posexplode(listed).alias("_i", "_p"))
+    each = each.withColumn("_try", _strictly(body, F.col("_p.page")))
+    each = quality.with_quality(each, "_try").select(*each.columns, F.col("score").alias("_score"))
+    fits = F.col("_try").isNotNull()
+    rank = F.when(fits, 0.7 * F.col("_score") + 0.3 * F.col("_p.trust")).otherwise(-1.0)
+    tried = F.struct(rank.alias("s"), (-F.col("_i")).alias("i"), F.col("_p.page").alias("page"), F.col("_try").alias("t"))
+    row = each.groupBy("_row").agg(
+        *[F.any_value(c).alias(c) for c in df.columns], F.collect_list(tried).alias("_tries"),
+        *[F.max((F.col("_i") == i) & fits & (F.col("_score") >= GOOD)).alias(f"_good_{i}") for i in range(2)],
+    )
+    # The best of some pages, the first on ties; pages that do not fit come last.
+    best = lambda n: F.array_max(F.filter("_tries", lambda x: x["i"] > -n))
+    found = row.withColumn("_best", F.when(F.col("_good_0"), best(1)).when(F.col("_good_1"), best(2)).otherwise(best(len(pages))))
+    plain = lambda rows: rows.select(*df.columns, F.regexp_replace("_best.t", "^\\uFEFF", "").alias(out), F.col("_best.page").alias("encoding"))
+    return plain(right).unionByName(plain(found))
 
 
 @F.pandas_udf(T.StringType())

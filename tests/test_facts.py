@@ -91,3 +91,13 @@ def test_labels_and_dates_of_answers(spark):
     texts = answers.select("id", F.lit(text).alias("text"))
     got = {r["id"]: r["supported"] for r in facts.ground(answers, texts, "id", ["kind", "day", "who"], labels=("kind",), dates=("day",)).collect()}
     assert got == {i: ok for i, (*_, ok) in enumerate(said)}
+
+
+def test_content_that_is_computed_is_made_once_a_reading(spark):
+    rows = [(0, TEXT.encode()), (1, b"\xff\xfe" + TEXT.encode("utf-16-le")), (2, TEXT.encode("cp1251")), (2, TEXT.encode("cp1251")), (3, b"\xff\xfe" + b"abc"), (4, None)]
+    made = spark.createDataFrame([(i, bytearray(b[::-1]) if b is not None else None) for i, b in rows], "id int, turned binary")
+    found = decoding.decode_bytes(made.select("id", F.unhex(F.regexp_replace(F.reverse(F.hex("turned")), "(.)(.)", "$2$1")).alias("content")), "content")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") <= 2  # once for what is read at once, once for what is tried
+    got = sorted((r["id"], r["encoding"]) for r in found.collect())
+    assert [g[0] for g in got] == [0, 1, 2, 2, 3, 4] and [g[1] for g in got[:4]] == ["utf-8", "utf-16", "cp1251", "cp1251"] and got[5][1] is None
