@@ -78,9 +78,15 @@ def _edge(text: Column, last: bool) -> Column:
 
 def _day(y: Column, m: Column, d: Column) -> Column:
     """The date as text, null if there is none of these numbers."""
-    year = y.try_cast("int")
-    whole = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, m.try_cast("int"), d.try_cast("int")), F.lit("yyyy-MM-dd"))
-    return F.when(year.between(FIRST_YEAR, LAST_YEAR), whole.cast("date").cast("string"))
+    # By arithmetic, as a parser that fails costs an exception a row.
+    def told(n: Column) -> Column:
+        year, month, day = n["y"], n["m"], n["d"]
+        leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+        last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+        padded = lambda x: F.lpad(x.cast("string"), 2, "0")
+        return F.when(year.between(FIRST_YEAR, LAST_YEAR) & month.between(1, 12) & day.between(1, last), F.concat_ws("-", year.cast("string"), padded(month), padded(day)))
+
+    return let(F.struct(y.try_cast("int").alias("y"), m.try_cast("int").alias("m"), d.try_cast("int").alias("d")), told)
 
 
 def _candidate(family: str, kind: Column, value: Column, ord_: Column, at: Column, long: Column, confidence: Column, role: Column) -> Column:
@@ -113,8 +119,8 @@ def _dates(short_years: bool) -> Column:
     n = F.size(parts)
 
     def role_of(before: Column, kind: Column) -> Column:
-        near = F.lower(F.right(before, F.lit(MARK_WIDTH)))
-        role = F.when(any_of(near, PERSONAL_MARKS), "personal_date").when(any_of(near, DOCUMENT_MARKS), "document_date").otherwise("date")
+        marked = lambda near: F.when(any_of(near, PERSONAL_MARKS), "personal_date").when(any_of(near, DOCUMENT_MARKS), "document_date").otherwise("date")
+        role = let(F.lower(F.right(before, F.lit(MARK_WIDTH))), marked)
         return role if short_years else F.when(kind == "short_year", "ambiguous_year").otherwise(role)
 
     def at(i: Column) -> Column:
@@ -123,22 +129,30 @@ def _dates(short_years: bool) -> Column:
         offset = F.length(F.array_join(F.slice(parts, 1, i), "-")) + F.when(i > 0, 1).otherwise(0)
         opened = F.when(i > 0, F.substring(marks, i, F.lit(1)) != "_").otherwise(_edge(left, True))
         shut = F.when(i + 3 < n, F.substring(marks, i + 3, F.lit(1)) != "_").otherwise(_edge(right, False))
-        kind = date_kind([F.length(p) for p in three], between)
-        kind = F.when((kind != "short_year") | ((n % 3 == 0) & (i % 3 == 0)), kind)
+        shape = date_kind([F.length(p) for p in three], between)
         text = F.concat(three[0], between[0], three[1], between[1], three[2])
         short = three[2].try_cast("int")
-        if short_years:
-            year = F.when(kind == "short_year", short + F.when(short < 70, 2000).otherwise(1900)).otherwise(three[2].try_cast("int")).cast("string")
-        else:
-            year = three[2]
-        day = F.when(kind == "iso", _day(three[0], three[1], three[2])).otherwise(_day(year, three[1], three[0]))
-        value = day if short_years else F.when(kind == "short_year", text).otherwise(day)
-        sure = F.lit(None).cast("double")
-        for k, c in DATE_CONFIDENCE.items():
-            sure = F.when(kind == k, 0.6 if short_years and k == "short_year" else c).otherwise(sure)
-        order = F.array_position(F.array(*map(F.lit, DATE_CONFIDENCE)), kind).cast("int")
-        told = _candidate("date", kind, value, order, offset, F.length(text), sure, role_of(F.concat(left, F.left(token, offset)), kind))
-        return F.when(opened & shut & kind.isNotNull() & value.isNotNull(), told)
+
+        def day_of(kind: Column) -> Column:
+            if short_years:
+                year = F.when(kind == "short_year", short + F.when(short < 70, 2000).otherwise(1900)).otherwise(three[2].try_cast("int")).cast("string")
+            else:
+                year = three[2]
+            day = F.when(kind == "iso", _day(three[0], three[1], three[2])).otherwise(_day(year, three[1], three[0]))
+            return day if short_years else F.when(kind == "short_year", text).otherwise(day)
+
+        def told(x: Column) -> Column:
+            kind, value = x["kind"], x["value"]
+            sure = F.lit(None).cast("double")
+            for k, c in DATE_CONFIDENCE.items():
+                sure = F.when(kind == k, 0.6 if short_years and k == "short_year" else c).otherwise(sure)
+            order = F.array_position(F.array(*map(F.lit, DATE_CONFIDENCE)), kind).cast("int")
+            return F.when(value.isNotNull(), _candidate("date", kind, value, order, offset, F.length(text), sure, role_of(F.concat(left, F.left(token, offset)), kind)))
+
+        # Each of these is evaluated once for a place.
+        kept = lambda k: F.when(k.isNotNull() & ((k != "short_year") | ((n % 3 == 0) & (i % 3 == 0))) & opened & shut, k)
+        valued = lambda k: let(F.struct(k.alias("kind"), F.when(k.isNotNull(), day_of(k)).alias("value")), told)
+        return let(shape, lambda s: let(kept(s), valued))
 
     numeric = F.when(n >= 3, F.array_compact(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), at)))
     following = r"^[»\"']?\s+(\p{L}+)\.?\s+([0-9]{4})"
