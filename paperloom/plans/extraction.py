@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract
 from .rendered import SQL, rendered
-from .tables import table
+from .tables import TEXTS, table
 
 
 def extract_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def pick_case_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, F.repeat(F.lit("слово "), F.lit(400))).otherwise(""), F.lit("Решение по делу № А40-"), (k % 1000000).cast("string"), F.lit("/2024. Производство 12345/24/"),
         (k % 1000 + 1000).cast("string"), F.lit("-ИП, затем дело № А41-7/2023."),
     )
-    found = extract.extract_identifiers(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), ["o_orderkey"])
+    found = extract.extract_identifiers(table(spark, sf_dir, "orders", TEXTS).select("o_orderkey", text.alias("text")), ["o_orderkey"])
     return extract.pick_case_numbers(found, ["o_orderkey"]).select("o_orderkey", F.col("rank").cast("long").alias("rank"), "value")
 
 
@@ -76,7 +76,7 @@ def person_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     front = F.transform(full, lambda n: F.concat_ws(" ", initials(n), part(n, 0)))
     form = F.floor(k / 8) % 4
     body = F.when(form == 0, F.array_join(behind, " ")).when(form == 1, F.array_join(front, "\n")).when(form == 2, F.array_join(front, ", ")).otherwise(F.array_join(F.transform(full, F.upper), ", "))
-    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Присутствовали: "), body).alias("text"))
+    docs = table(spark, sf_dir, "orders", TEXTS).select("o_orderkey", F.concat(F.lit("Присутствовали: "), body).alias("text"))
     return extract.extract_persons(docs, ["o_orderkey"]).select("o_orderkey", F.col("value").alias("person"))
 
 
@@ -86,7 +86,7 @@ def organization_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     offices = F.array_join(F.slice(F.array(*map(F.lit, OFFICES)), 1, (k % 4 + 1).cast("int")), " и ")
     number = (k % 1000).cast("string")
     company = F.concat(F.lit("ООО «Альфа "), number, F.lit("», общество с ограниченной ответственностью «Бета "), number, F.lit("»"))
-    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Стороны: "), company, F.lit(", "), offices).alias("text"))
+    docs = table(spark, sf_dir, "orders", TEXTS).select("o_orderkey", F.concat(F.lit("Стороны: "), company, F.lit(", "), offices).alias("text"))
     return extract.extract_organizations(docs, ["o_orderkey"]).select("o_orderkey", F.col("value").alias("organization"), "role")
 
 
