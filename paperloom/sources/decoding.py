@@ -24,9 +24,16 @@ def _composed(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFC")
 
 
+#: Characters beside which nothing composes and that are composed themselves: Latin, Cyrillic without its marks, common signs.
+INERT = r"\u0000-\u02FF\u0400-\u0482\u048A-\u052F\u2010-\u2027\u2030-\u205E\u20AC\u2116"
+
+
 def nfc(text: Column) -> Column:
-    """Composed form; pure ASCII rows pass by."""
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(_composed(text))
+    """Composed form; only texts with other characters than INERT leave the JVM.
+
+    Arrow functions get every row whatever condition stands around them, so the others are null to them.
+    """
+    return F.coalesce(_composed(F.when(text.rlike(f"[^{INERT}]"), text)), text)
 
 
 @F.pandas_udf(T.StringType())

@@ -150,3 +150,19 @@ def test_daily_report_counts_days_of_any_order_of_files(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     found = {r["day"]: (r["n"], r["total"]) for r in streams.stream_daily_report(spark, str(tmp_path)).collect()}
     assert found == {f"2024-01-{d:02d}": (2, 2.0) for d in days}
+
+
+def test_only_texts_that_may_change_are_composed_in_python(spark):
+    import re
+    import unicodedata
+
+    from paperloom.sources import decoding
+
+    inert = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and re.match(f"[{decoding.INERT}]", chr(c))]
+    second = {parts[-1] for c in range(0x110000) if (parts := unicodedata.decomposition(chr(c)).split()) and len(parts) == 2 and not parts[0].startswith("<")}
+    assert len(inert) > 1000 and not second & {f"{ord(c):04X}" for c in inert}
+    assert all(unicodedata.combining(c) == 0 and unicodedata.normalize("NFC", c) == c for c in inert)
+    rows = ["Договор № 5 – «й»", "é", "й", "Å", "가", "café", None, "", "😀"]
+    read = values(spark, list(enumerate(rows))).select("id", "text", decoding.nfc(F.col("text")).alias("new"))
+    assert [r["new"] for r in read.orderBy("id").collect()] == [t and unicodedata.normalize("NFC", t) for t in rows]
+    assert re.search(r"_composed\(CASE WHEN", read._jdf.queryExecution().optimizedPlan().toString().replace("\n", " "))
