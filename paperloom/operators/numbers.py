@@ -99,8 +99,9 @@ def _edge(text: Column, last: bool) -> Column:
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
-    """The date of these integers as text, null if there is none."""
+    """The date as text, null if there is none of these numbers."""
     # By arithmetic, as a parser that fails costs an exception a row.
+    year, month, day = (n.try_cast("int") for n in (year, month, day))
     leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
     last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
     padded = lambda x: F.lpad(x.cast("string"), 2, "0")
