@@ -115,3 +115,11 @@ def test_only_texts_that_lack_a_value_lose_their_punctuation(spark):
     assert {(r["id"], r["kind"]): r["supported"] for r in facts.ground(a, t, "id", ["n", "k"], labels=("k",)).collect()} == got | {(5, "k"): False}
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert r"[^\p{L}\p{N}]" in plan and r"[^\p{L}\p{N}]" not in plan[plan.index("Join ") :]
+
+
+def test_grounding_broadcasts_no_texts(spark):
+    rows = spark.range(100_000)  # expected to be small, whatever the texts are made of
+    texts = rows.select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("Договор от 05.03.2021 № "), F.col("id").cast("string")), 3).alias("text"))
+    said = rows.select(F.col("id").alias("doc_id"), F.lit('{"num": {"value": "17", "evidence": ""}, "day": {"value": "2021-03-05", "evidence": ""}}').alias("raw"))
+    for found in (facts.ground(said, texts, "doc_id", ["num"]),):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
