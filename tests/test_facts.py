@@ -121,5 +121,5 @@ def test_grounding_broadcasts_no_texts(spark):
     rows = spark.range(100_000)  # expected to be small, whatever the texts are made of
     texts = rows.select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("Договор от 05.03.2021 № "), F.col("id").cast("string")), 3).alias("text"))
     said = rows.select(F.col("id").alias("doc_id"), F.lit('{"num": {"value": "17", "evidence": ""}, "day": {"value": "2021-03-05", "evidence": ""}}').alias("raw"))
-    for found in (facts.ground(said, texts, "doc_id", ["num"]),):
+    for found in (facts.ground(said, texts, "doc_id", ["num"]), facts.ground(said, texts, "doc_id", ["num", "day"], dates=("day",))):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
