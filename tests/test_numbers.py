@@ -34,3 +34,11 @@ def test_nothing_that_numbers_say_is_lost(spark):
 def test_inn_by_its_digits(spark):
     df = spark.createDataFrame([("7707083893",), ("7707083894",), ("500100732259",), ("500100732258",), ("77070838",), ("770708389x",), (None,)], "v string")
     assert [r[0] for r in df.select(F.coalesce(numbers.valid_inn(F.col("v")), F.lit(False))).collect()] == [True, False, True, False, False, False, False]
+
+
+def test_what_is_no_date_is_not_cast(spark):
+    rows = spark.createDataFrame([("№", "", " 17"), ("7919000001", "ИНН ", "")], "matched string, left string, right string")
+    said, _ = numbers.says(identifiers=False)(rows)
+    plan = said._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_cast(CASE WHEN isnotnull(_kind") == 3
+    assert [tuple(r) for r in said.select("_y", "_m", "_d").collect()] == [(None, None, None)] * 2
